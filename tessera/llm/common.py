@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 SLICE_BYTES = 3 << 20
@@ -167,3 +168,12 @@ def window_hash(h: np.ndarray, offsets: tuple[int, ...], seed: int = 0) -> np.nd
 
 def column(b: pa.RecordBatch, name: str) -> np.ndarray:
     return b.column(name).to_numpy(zero_copy_only=False)
+
+
+BROADCAST_ROWS = 2_000_000
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the doc_ids of ids (one column); rows with a null doc_id stay. Up to BROADCAST_ROWS ids are sent to the tasks, more are shuffled."""
+    gone = cut(ids.toDF("__gone").distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, docs["doc_id"] == gone["__gone"], "left_anti")
