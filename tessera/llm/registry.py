@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, kneser_ney, order_minhash
+from . import decontaminate, kneser_ney, order_minhash, suffix_dedup
 
-MODULES = [decontaminate, order_minhash, kneser_ney]
+MODULES = [decontaminate, order_minhash, kneser_ney, suffix_dedup]
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
