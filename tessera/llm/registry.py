@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, kneser_ney, mixing, order_minhash, suffix_dedup
+from . import decontaminate, kneser_ney, mixing, order_minhash, resharding, suffix_dedup
 
-MODULES = [decontaminate, mixing, order_minhash, kneser_ney, suffix_dedup]
+MODULES = [decontaminate, mixing, order_minhash, kneser_ney, suffix_dedup, resharding]
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
