@@ -170,7 +170,8 @@ def column(b: pa.RecordBatch, name: str) -> np.ndarray:
     return b.column(name).to_numpy(zero_copy_only=False)
 
 
-BROADCAST_ROWS = 2_000_000
+#: Ids that are sent to the tasks at most; a hashed one takes about 30 bytes.
+BROADCAST_ROWS = 6_000_000
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
