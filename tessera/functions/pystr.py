@@ -11,14 +11,15 @@ BLANK_TEXT = r"^[\s\x{1c}-\x{1f}\x{85}\p{Z}]*$"
 
 
 def float_str(c: Column) -> Column:
-    """The shortest text that reads back as the same double: plain from 1e-4 to 1e16, else scientific."""
+    """The shortest text, as far as the JVM finds it, that reads back as the same double: plain from 1e-4 to 1e16, else scientific."""
     short, size = c.cast("string"), F.abs(c)
     plain = F.regexp_replace(short.try_cast("decimal(38,21)").cast("string"), r"(\.\d*?)0+$", "$1")
     plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
     digits = F.regexp_replace(F.substring_index(short, "E", 1), r"\.0$", "")
     power = F.substring_index(short, "E", -1)
+    size_of = F.regexp_replace(power, "-", "")
     sign = F.when(power.startswith("-"), "-").otherwise("+")
-    science = F.concat(digits, F.lit("e"), sign, F.lpad(F.ltrim(F.regexp_replace(power, "-", "")), 2, "0"))
+    science = F.concat(digits, F.lit("e"), sign, F.when(F.length(size_of) < 2, F.lpad(size_of, 2, "0")).otherwise(size_of))
     return (
         F.when(F.isnan(c), "nan")
         .when(size == float("inf"), F.when(c > 0, "inf").otherwise("-inf"))

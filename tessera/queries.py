@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from .functions import checks
 from .functions.pystr import FLOAT_TEXT, int_size, value_kind
+from .functions.shapes import shapes
 from .operators.flatten import char_histogram, first_values, flatten, flatten_json, headers
 from .operators.profile import field_stats, histogram, profile
 from .plans import export, rules
@@ -205,7 +206,9 @@ def _lit(v: object) -> str:
         return "true" if v else "false"
     if isinstance(v, (list, tuple)):
         return "[" + ", ".join(map(_lit, v)) + "]::varchar[]"
-    return str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
+    if isinstance(v, float):
+        return f"{v}::double"
+    return str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
 
 
 def _values(rows: list[tuple], names: str) -> str:
@@ -430,6 +433,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query("shape_patterns", "select shape, count(*) as n from (select regexp_replace(regexp_replace(regexp_replace(c_name, '\\p{Nd}', '9', 'g'), '\\p{Lu}', 'A', 'g'), '\\p{Ll}', 'a', 'g') as shape from customer) group by shape")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return shapes(read(spark, d, "customer"), "c_name")
+
+
 # Catalog payloads
 
 _MATCHES = [("mail", 0, "emailknown", "email", 100.0), ("mail", 1, "emailvalue", "email", 97.125), ("code", 0, "isbn", "isbn13", 12.5), ("code", 1, "asn", "asn", 80.0), ("code", 2, "doi", "doi", 80.0), ("when", 0, "qd", "datetime", 55.0)]

@@ -18,6 +18,7 @@ FORMATS = ("csv", "tsv", "json", "jsonl", "ndjson", "bson", "parquet", "orc", "a
 CODECS = ("gz", "bz2", "xz", "zip", "snappy", "lz4", "zst", "br")
 BINARY = ("bson", "parquet", "orc", "avro", "xls", "xlsx")
 HADOOP_CODECS = ("gz", "bz2", "snappy", "lz4", "zst")
+CHARSETS = ("utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32")  # what Spark's own text readers decode
 DELIMITERS = (",", ";", "\t", "|")
 
 
@@ -90,8 +91,8 @@ def decompressed(raw: bytes, codec: str | None) -> bytes:
     raise FormatError(f"codec {codec} can't be read here")
 
 
-def _unpacked_lines(spark: SparkSession, path: str, codec: str, encoding: str) -> DataFrame:
-    """Lines of files in codecs that Spark doesn't read, each file in a task."""
+def _unpacked_lines(spark: SparkSession, path: str, codec: str | None, encoding: str) -> DataFrame:
+    """Lines of files in codecs or encodings that Spark doesn't read, each file in a task."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -101,6 +102,14 @@ def _unpacked_lines(spark: SparkSession, path: str, codec: str, encoding: str) -
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "value string")
 
 
+def json_frame(df: DataFrame, column: str) -> DataFrame:
+    """The records in a column of JSON texts, with the schema that all of them share."""
+    kind = df.select(F.schema_of_variant_agg(F.parse_json(column))).first()[0] or ""
+    if not kind.startswith("OBJECT<"):
+        return df.select().limit(0)
+    return df.select(F.from_json(column, kind.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")).alias("r")).select("r.*")
+
+
 def read_bson(spark: SparkSession, path: str) -> DataFrame:
     """A column v of VARIANT records."""
 
@@ -170,8 +179,13 @@ def read_file(spark: SparkSession, path: str, format: str | None = None, delimit
     known, packed = file_format(path)
     format, codec = format or known, codec if codec is not None else packed
     if format in ("csv", "tsv"):
-        if codec and codec not in HADOOP_CODECS:
-            encoding = encoding or "utf-8"
+        if not codec and (encoding is None or delimiter is None):
+            raw = head(spark, path)
+            encoding = encoding or encoding_of(raw)
+            delimiter = delimiter or ("\t" if format == "tsv" else delimiter_of(raw.decode(encoding, "replace").split("\n", 1)[0]))
+        encoding = encoding or "utf-8"
+        if codec and codec not in HADOOP_CODECS or encoding.lower() not in CHARSETS:
+            # Decoded in Python, a line a record.
             lines = _unpacked_lines(spark, path, codec, encoding)
             first = lines.first()
             delimiter = delimiter or ("\t" if format == "tsv" else delimiter_of(first.value if first else ""))
@@ -179,16 +193,12 @@ def read_file(spark: SparkSession, path: str, format: str | None = None, delimit
             ddl = ", ".join(f"`{c}` string" for c in names)
             body = lines.where(F.col("value") != (first.value if first else ""))
             return body.select(F.from_csv("value", F.lit(ddl), {"sep": delimiter}).alias("r")).select("r.*").na.fill("")
-        if not codec and (encoding is None or delimiter is None):
-            raw = head(spark, path)
-            encoding = encoding or encoding_of(raw)
-            delimiter = delimiter or ("\t" if format == "tsv" else delimiter_of(raw.decode(encoding, "replace").split("\n", 1)[0]))
-        return spark.read.csv(path, header=True, sep=delimiter or ("\t" if format == "tsv" else ","), encoding=encoding or "utf-8", inferSchema=False, multiLine=True, escape='"').na.fill("")
+        return spark.read.csv(path, header=True, sep=delimiter or ("\t" if format == "tsv" else ","), encoding=encoding, inferSchema=False, multiLine=True, escape='"').na.fill("")
     if format == "json":
         return spark.read.json(path, multiLine=True)
     if format in ("jsonl", "ndjson"):
         if codec and codec not in HADOOP_CODECS:
-            return spark.read.json(_unpacked_lines(spark, path, codec, encoding or "utf-8").select("value"))
+            return json_frame(_unpacked_lines(spark, path, codec, encoding or "utf-8"), "value")
         return spark.read.json(path)
     if format in ("parquet", "orc"):
         return spark.read.format(format).load(path)

@@ -16,8 +16,9 @@ def running_histogram(stream: DataFrame, time: str | None = None, window: str =
     if time:
         stream = stream.withWatermark(time, late)
     cells = [f for f in stream.schema if f.name != time]
-    keyed = stream.select(start.alias("window_start"), *[f"`{f.name}`" for f in cells])
-    long = flatten(keyed.select(F.struct("window_start").alias("w"), *[f"`{f.name}`" for f in cells]).withColumn("_id", F.col("w")).drop("w"), ["_id.window_start"])
+    # The window travels as the hidden field, which flattening leaves alone.
+    keyed = stream.select(F.struct(start.alias("window_start")).alias("_id"), *[f"`{f.name}`" for f in cells])
+    long = flatten(keyed, ["_id.window_start"])
     return long.groupBy(F.col("pos")["window_start"].alias("window_start"), "field", "kind", "value").agg(F.count("*").alias("cnt"))
 
 
