@@ -88,7 +88,7 @@ def _export(spark: SparkSession, a: argparse.Namespace) -> None:
     if isinstance(rows, dict):
         rows = rows.get("data") or rows.get("fields") or []
     schema = f"key string, ftype string, tags array<string>, matches {MATCH}, labels string, datatype_url string"
-    report = spark.createDataFrame([tuple(r.get(k) or ([] if k in ("tags", "matches") else None) for k in ("key", "ftype", "tags", "matches", "labels", "datatype_url")) for r in rows], schema)
+    report = spark.createDataFrame([tuple(r.get(k) or ([] if k in ("tags", "matches") else None) for k in "key ftype tags matches labels datatype_url".split()) for r in rows], schema)
     target = {"datahub": "urn", "openmetadata": "fqn", "atlas": "qualified"}[a.what]
     sinks.emit(sinks.document(export.payload(report, a.dataset, target, a.min_confidence), "json", True), a.output)
 

@@ -10,7 +10,8 @@ from .flatten import flatten
 
 EMPTY_VALUES = ("None", "", "NaN", "-", "N/A")
 DICT_SHARE = 10.0
-STATS = ("key", "ftype", "is_dictkey", "is_uniq", "n_uniq", "share_uniq", "minlen", "maxlen", "avglen", "tags", "has_digit", "has_alphas", "has_special", "minval", "maxval", "has_any_digit", "has_any_alphas", "has_any_special", "dictvalues")
+CLASSES = ("digit", "alphas", "special")
+STATS = tuple("key ftype is_dictkey is_uniq n_uniq share_uniq minlen maxlen avglen tags has_digit has_alphas has_special minval maxval has_any_digit has_any_alphas has_any_special dictvalues".split())
 
 
 def histogram(long: DataFrame) -> DataFrame:
@@ -54,12 +55,10 @@ def field_stats(h: DataFrame, dict_share: float = DICT_SHARE, empty_values: tupl
         "maxlen",
         (F.col("totallen") / F.col("total")).alias("avglen"),
         F.array_compact(F.array(F.when(share == 100, "uniq"), F.when(key, F.when(F.col("n_empty") == F.col("total"), "empty").otherwise("dict")))).alias("tags"),
-        "has_digit",
-        "has_alphas",
-        "has_special",
+        *[f"has_{k}" for k in CLASSES],
         "minval",
         "maxval",
-        *[(F.col(f"has_{k}") > 0).alias(f"has_any_{k}") for k in ("digit", "alphas", "special")],
+        *[(F.col(f"has_{k}") > 0).alias(f"has_any_{k}") for k in CLASSES],
     )
     # Only fields with few values by share have their values gathered.
     few = h.join(stats.where("is_dictkey").select(F.col("key").alias("field")), "field", "left_semi").groupBy("field", "text").agg(F.min("first_pos").alias("p"))

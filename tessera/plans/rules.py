@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field
 from functools import lru_cache
@@ -48,7 +49,7 @@ def country_codes(value: str | Iterable[str] | None) -> tuple[str, ...]:
     """Codes from a list or from text parted by semicolons or commas; trimmed, in lower case."""
     if not value:
         return ()
-    parts = value.replace(";", ",").split(",") if isinstance(value, str) else [str(v) for v in value]
+    parts = re.split("[;,]", value) if isinstance(value, str) else [str(v) for v in value]
     return tuple(p.strip().lower() for p in parts if p.strip())
 
 
@@ -56,7 +57,7 @@ def _from_entry(e: dict, strict: bool) -> Rule:
     plain = {k: e[k] for k in ("id", "key", "type", "match", "lang", "group", "imprecise", "pii", "minlen", "maxlen", "func") if k in e}
     regex = e.get("regex") if strict else e.get("loose", e.get("regex"))
     gate = e.get("gate") if strict else e.get("gate_loose", e.get("gate"))
-    return Rule(**plain, context=tuple(e["context"]), country=tuple(e["country"]), keywords=frozenset(e.get("keywords", ())), gate_keywords=frozenset(e.get("gate_keywords", ())), regex=regex, gate=gate)
+    return Rule(**plain, context=tuple(e["context"]), country=tuple(e.get("country", ())), keywords=frozenset(e.get("keywords", ())), gate_keywords=frozenset(e.get("gate_keywords", ())), regex=regex, gate=gate)
 
 
 @lru_cache(maxsize=2)

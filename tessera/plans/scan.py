@@ -38,7 +38,7 @@ class Field:
 
     @property
     def short(self) -> str:
-        return self.name.rsplit(".", 1)[-1].strip()
+        return self.name.rpartition(".")[2].strip()
 
 
 def java(pattern: str) -> re.Pattern:
@@ -124,10 +124,10 @@ def scan(
     contexts: Iterable[str] | None = None,
     langs: Iterable[str] | None = None,
     confidence: float = CONFIDENCE,
-    stop_on_match: bool = False,
+    except_empty: bool = True,
     parse_dates: bool = True,
+    stop_on_match: bool = False,
     ignore_imprecise: bool = True,
-    except_empty: bool = True,
     fields: list[str] | None = None,
     stats_only: bool = False,
     dict_share: float = DICT_SHARE,

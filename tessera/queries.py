@@ -332,9 +332,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     forms = {"year": F.year("o_orderdate").cast("string"), "lat": F.round(p / 5000, 3).cast("decimal(20,3)").cast("string"), "lon": F.round(p / 3000, 2).cast("decimal(20,2)").cast("string"), "asn": F.concat(F.lit("AS"), F.col("o_custkey").cast("string")), "doi": F.concat(F.lit("10."), (1000 + F.col("o_custkey") % 9000).cast("string"), F.lit("/x"), F.col("o_orderkey").cast("string"))}
     long = o.select(F.explode(F.array(*[F.struct(F.lit(k).alias("field"), v.alias("value")) for k, v in forms.items()])).alias("x")).select("x.*")
     own = [
-        _rule("year", "ppr", "(Literal('1') + Word(nums, exact=3)) ^ (Literal('2') + Word('01', exact=1) + Word(nums, exact=2))", 4, 4),
-        _rule("lat", "ppr", "((Word('012345678', exact=1) + Word(nums, exact=1)) ^ (Literal('9') + Word(nums, exact=1))) + '.' + Word(nums, max=10)", 4, 13),
-        _rule("lon", "ppr", "((Literal('1') + Word('012345678') + Word(nums, exact=1)) ^ Word(nums, exact=2)) + '.' + Word(nums, max=10)", 4, 13),
+        _rule("year", "ppr", "('1' + Word(nums, exact=3)) ^ ('2' + Word('10', max=1) + Word(nums, exact=2))", 4, 4),
+        _rule("lat", "ppr", "((Word('876543210', max=1) + Word(nums, exact=1)) ^ ('9' + Word(nums, exact=1))) + '.' + Word(nums, max=10)", 4, 13),
+        _rule("lon", "ppr", "(('1' + Word('876543210') + Word(nums, exact=1)) ^ Word(nums, exact=2)) + '.' + Word(nums, max=10)", 4, 13),
         _rule("asn", "ppr", "Literal('AS') + Word(nums, max=5)", 3, 8),
         _rule("doi", "ppr", "Literal('10.') + Word(nums, exact=4) + '/' + Word(printables)", 3, 100),
     ]
@@ -521,7 +521,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return s.select("field", retrieve.query_text(F.col("field"), F.col("samples")).alias("query_text"), retrieve.prompt(F.col("field"), F.col("samples"), F.array(F.lit("one"), F.lit("two"))).alias("prompt"))
 
 
-_RESPONSES = [("a", 'Sure: {"datatype_id": "email", "confidence": 0.9, "reason": "at sign"} done'), ("b", '{"datatype_id": null, "confidence": 0.2}'), ("c", '{"datatype_id": "asn", "confidence": 7}'), ("d", "no idea"), ("e", '{"datatype_id": "x", "confidence": -1, "reason": "r"}'), ("f", None)]
+_RESPONSES = [("a", 'Sure: {"confidence": 0.9, "datatype_id": "email", "reason": "at sign"} done'), ("b", '{"confidence": 0.2, "datatype_id": null}'), ("c", '{"datatype_id": "asn", "confidence": 7}'), ("d", "no idea"), ("e", '{"datatype_id": "x", "confidence": -1, "reason": "r"}'), ("f", None)]
 
 
 @query("llm_response_parse", f"select id, json_extract_string(j, '$.datatype_id') as datatype_id, least(greatest(coalesce(try_cast(json_extract_string(j, '$.confidence') as double), 0.0), 0.0), 1.0)::double as confidence, coalesce(json_extract_string(j, '$.reason'), '') as reason from (select id, nullif(regexp_extract(r, '\\{{[\\s\\S]*\\}}'), '') as j from {_values(_RESPONSES, 'id, r')})")

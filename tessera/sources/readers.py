@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FORMATS = ("csv", "tsv", "json", "jsonl", "ndjson", "bson", "parquet", "orc", "avro", "xls", "xlsx", "xml")
-CODECS = ("gz", "bz2", "xz", "zip", "snappy", "lz4", "zst", "br")
+FORMATS = "avro bson csv json jsonl ndjson orc parquet tsv xls xlsx xml".split()
+CODECS = "br bz2 gz lz4 snappy xz zip zst".split()
 BINARY = ("bson", "parquet", "orc", "avro", "xls", "xlsx")
 HADOOP_CODECS = ("gz", "bz2", "snappy", "lz4", "zst")
 CHARSETS = ("utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32")  # what Spark's own text readers decode
