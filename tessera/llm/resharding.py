@@ -134,10 +134,10 @@ def block_of(doc_id: str, blocks: int) -> F.Column:
     return F.expr(f"coalesce(pmod(cast(conv(substr(md5(cast(cast({doc_id} as bigint) as string)), 1, 8), 16, 10) as bigint), {blocks}), 0)")
 
 
-def default_capacities(sizes: Mapping[str | None, int], extra: int = EXTRA_SHARDS, slack: float = SLACK) -> dict[str, int]:
-    """The old shards and extra new ones, of equal capacity."""
-    names = [s for s in sizes if s is not None] + [f"new{k}" for k in range(extra)]
-    return {s: math.ceil(sum(sizes.values()) * slack / len(names)) for s in names}
+def default_capacities(blocks: Mapping[tuple[str | None, int], int], extra: int = EXTRA_SHARDS, slack: float = SLACK) -> dict[str, int]:
+    """The old shards and extra new ones, of equal capacity: their share with slack and room for one more block, so that whole blocks always fit."""
+    names = sorted({s for s, _ in blocks if s is not None}) + [f"new{k}" for k in range(extra)]
+    return {s: math.ceil(sum(blocks.values()) * slack / len(names)) + max(blocks.values(), default=0) for s in names}
 
 
 def resharded(docs: DataFrame, capacities: Mapping[str, int] | None = None, shard: str = "source", blocks: int = BLOCKS, name: str = "shard") -> DataFrame:
@@ -148,10 +148,7 @@ def resharded(docs: DataFrame, capacities: Mapping[str, int] | None = None, shar
     sizes = docs.groupBy(old.alias("s"), block.alias("b")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).collect()
     by_block = {(r.s, r.b): r.n for r in sizes}
     if capacities is None:
-        by_shard: dict[str | None, int] = {}
-        for (s, _), n in by_block.items():
-            by_shard[s] = by_shard.get(s, 0) + n
-        capacities = default_capacities(by_shard)
+        capacities = default_capacities(by_block)
     plan = spark.createDataFrame([(s, b, t) for (s, b), t in transfers(by_block, capacities).items()] if by_block else [], "__s string, __b long, __t string")
     on = old.eqNullSafe(F.col("__s")) & (block == F.col("__b"))
     kept = [docs[c] for c in docs.columns if c != name]
