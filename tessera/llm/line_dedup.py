@@ -103,14 +103,16 @@ def deduplicated(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT,
             runs.add(new.repartition(buckets, "h1", "h2"))
         places = new.select("at.doc_id", "at.u", "at.pos")
         kept = places if kept is None else kept.union(places)
-    kept = kept.groupBy("doc_id", "u").agg(F.collect_list("pos").alias("stay"))
-    kept = cut(kept, "kept")
+    kept = kept.groupBy("doc_id", "u").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    # A byte for each line up to the last that stays, so looking one up takes no search.
+    mask = "cast(array_join(transform(at, (p, i) -> concat(repeat('0', p - if(i = 0, -1, at[greatest(i - 1, 0)]) - 1), '1')), '') as binary)"
+    kept = cut(kept.selectExpr("doc_id", "u", f"{mask} as stay"), "kept")
     runs.close()
     drop_table(spark, path)
     whole = docs.withColumn("u", F.xxhash64("text"))
     same = whole["doc_id"].eqNullSafe(kept["doc_id"]) & (whole["u"] == kept["u"])
     out = whole.join(kept, same, "left").select(whole["doc_id"], whole["u"], "text", "stay").withColumn("parts", F.split("text", "\n"))
-    out = out.withColumn("left", F.expr(f"filter(parts, (l, i) -> btrim(l, '{BLANKS}') = '' or array_contains(coalesce(stay, array()), i))".replace("\t", "\\t").replace("\r", "\\r")))
+    out = out.withColumn("left", F.expr(f"filter(parts, (l, i) -> btrim(l, '{BLANKS}') = '' or substring(stay, i + 1, 1) <=> X'31')".replace("\t", "\\t").replace("\r", "\\r")))
     out = out.select("doc_id", "u", F.array_join("left", "\n").alias("text"), F.coalesce(F.size("parts"), F.lit(0)).cast("long").alias("n_lines"), F.expr("cast(coalesce(size(parts) - size(left), 0) as long)").alias("n_removed"))
     return out.withColumn("n_lines", F.greatest("n_lines", F.lit(0))).dropDuplicates(["doc_id", "u"]).drop("u")
 
