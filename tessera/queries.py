@@ -12,10 +12,10 @@ from .functions import checks
 from .functions.pystr import FLOAT_TEXT, int_size, value_kind
 from .functions.shapes import shapes
 from .operators.flatten import char_histogram, first_values, flatten, flatten_json, headers
-from .operators.profile import field_stats, histogram, profile
+from .operators.profile import histogram, profile
 from .plans import export, rules
 from .plans.ppr import compile_rule
-from .plans.scan import BASE_URL, Field, date_matches, field_matches, labels, lengths_meet, scan, scan_all, value_matches
+from .plans.scan import BASE_URL, Field, date_matches, field_matches, labels, lengths_meet, scan, value_matches
 from .rag import registry, retrieve
 from .streaming.profile import drained, running_histogram
 
