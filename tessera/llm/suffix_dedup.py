@@ -318,7 +318,7 @@ def requests(matches: DataFrame, min_tokens: int) -> DataFrame:
     """Per document: what is certain, matches of at least min_tokens united (rid null), and the matches whose ends have to be extended."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in batches:
+        for r in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
             out: list[tuple] = []
             for d, t, rows in zip(r.column("doc_id").to_pylist(), r.column("t").to_pylist(), r.column("rows").to_pylist()):
                 rows.sort(key=lambda x: (x["start"], -x["n"], x["o_doc"], x["o_start"]))
