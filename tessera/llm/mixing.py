@@ -14,8 +14,12 @@ every block's slot follows from its number. Sources in proportion to their
 documents, none above CAP of the mix (what a capped source gives up goes to the
 others in proportion), are the default target; any other may be given.
 
-The mix ends at the first slot whose source has run out; what is left of the
-other sources is not part of it. Ranks within a source come from counts of
+The mix is as large as the exact target weights allow: the source that is
+scarcest by its weight is used up, and every other gives its weight's share of
+that size, in whole blocks. So without a cap all documents are used, and with
+one all those of the sources that aren't capped. Whole parts round the weights,
+a tiny source's up to one part, so a source may be done before others; it then
+leaves the schedule, its slots stay empty, and the others go on in theirs. Ranks within a source come from counts of
 hash ranges and a rank within each range, so a hot source needs no task of its own.
 
 Defined results: a null source is a source of its own (named by null), last in
@@ -30,6 +34,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Mapping
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,8 +117,14 @@ def ranked(docs: DataFrame, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, di
     return own.join(before, on).selectExpr("doc_id", "source", "before + own as rank"), counts
 
 
+def last_blocks(counts: Mapping[str | None, int], weights: Mapping[str | None, float], block_docs: int = BLOCK_DOCS) -> dict[str | None, int]:
+    """The blocks that each source gives to the largest mix at these weights, which don't have to sum to 1."""
+    size = min((counts[s] / w for s, w in weights.items() if w > 0), default=0.0)
+    return {s: min(-(-counts[s] // block_docs), max(1, ceil(w * size / block_docs - 1e-9))) for s, w in weights.items() if w > 0}
+
+
 def mixed(docs: DataFrame, target: Mapping[str | None, float] | None = None, block_docs: int = BLOCK_DOCS, parts: int = PARTS, cap: float = CAP) -> DataFrame:
-    """(doc_id, source, block, slot, release, deadline, place): the mix; place orders the documents, from 0 on with gaps after short blocks."""
+    """(doc_id, source, block, slot, release, deadline, place): the mix; place orders the documents, from 0 on with gaps after short blocks and in the slots of sources that are done."""
     spark = docs.sparkSession
     rows, counts = ranked(docs)
     weights = capped(counts, cap) if target is None and counts else {s: w for s, w in (target or {}).items() if counts.get(s)}
@@ -123,16 +134,14 @@ def mixed(docs: DataFrame, target: Mapping[str | None, float] | None = None, blo
     at: dict[str | None, list[int]] = {s: [] for s in share}
     for slot, s in enumerate(line):
         at[s].append(slot)
-    blocks = {s: -(-counts[s] // block_docs) for s in share}
-    # The first slot that would need a block its source doesn't have.
-    end = min((blocks[s] // share[s] * n + at[s][blocks[s] % share[s]] for s in share), default=0)
+    last = last_blocks(counts, weights, block_docs)
     plan = [(s, j, slot, share[s]) for s in share for j, slot in enumerate(at[s])]
     plan = spark.createDataFrame(plan, "p_source string, j int, p_slot int, w int")  # one row a slot of the period
     rows = rows.withColumn("block", F.expr(f"rank div {block_docs}"))
-    wanted = spark.createDataFrame([(s, w) for s, w in share.items()], "w_source string, own int")
-    rows = rows.join(F.broadcast(wanted), F.col("source").eqNullSafe(F.col("w_source")))
+    wanted = spark.createDataFrame([(s, w, last[s]) for s, w in share.items()], "w_source string, own int, last long")
+    rows = rows.join(F.broadcast(wanted), F.col("source").eqNullSafe(F.col("w_source"))).where("block < last")
     on = F.col("source").eqNullSafe(F.col("p_source")) & (F.expr("block % own") == F.col("j"))
-    out = rows.join(F.broadcast(plan), on).withColumn("slot", F.expr(f"block div own * {n} + p_slot")).where(F.col("slot") < end)
+    out = rows.join(F.broadcast(plan), on).withColumn("slot", F.expr(f"block div own * {n} + p_slot"))
     return out.selectExpr("doc_id", "source", "block", "slot", f"block * {n} div own as release", f"((block + 1) * {n} + own - 1) div own as deadline", f"slot * {block_docs} + rank % {block_docs} as place")
 
 

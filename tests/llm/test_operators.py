@@ -279,6 +279,19 @@ def test_mix(spark):
     assert same == mixing.ranked(docs)[0].orderBy("source", "rank").collect()
 
 
+def test_a_tiny_source_does_not_end_the_mix(spark):
+    rows = [(d, f"t{d}", "en", f"s{d % 5}") for d in range(1000)]
+    docs = documents(spark, [*rows, (1000, "stray", "en", "stray"), (1001, "null", "en", None)])
+    m = mixing.mixed(docs, block_docs=1, parts=40).collect()
+    assert {r.doc_id for r in m} == set(range(1002)) and len({r.place for r in m}) == len(m)
+    assert all(r.release <= r.slot < r.deadline for r in m)
+    # A source above the cap gives its quarter of the mix and no more, and all others are used up.
+    rows += [(d, f"t{d}", "en", "hot") for d in range(2000, 4000)]
+    m = mixing.mixed(documents(spark, [*rows, (1000, "stray", "en", "stray")]), block_docs=1, parts=40).collect()
+    assert {r.doc_id for r in m if r.source != "hot"} == set(range(1001))
+    assert sum(r.source == "hot" for r in m) == -(-1001 // 3)
+
+
 def test_capped_shares():
     s = mixing.capped({"a": 80, "b": 10, "c": 5, "d": 5}, 0.4)
     assert s["a"] == 0.4 and abs(sum(s.values()) - 1) < 1e-9 and s["b"] == pytest.approx(0.3)
