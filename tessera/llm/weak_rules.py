@@ -2,12 +2,16 @@
 
 Each rule says good, bad or nothing about a whole text. The model is a naive
 Bayes mixture of two classes: a rule that votes names the class right with a
-probability of its own for each class; abstaining says nothing.
+probability of its own for each class; abstaining says nothing. A rule that
+can only vote bad is right or wrong by whether it votes at all, and shares no
+errors with the others that EM could learn from: its probabilities of a bad
+vote are stated (ONE_SIDED), and silence counts as its vote for good. So a
+listed insult outweighs the good votes of all other rules.
 Expectation-maximisation runs on the counts of vote patterns, at most 3 to the
 number of rules of them whatever the corpus's size, gathered over all
 documents. A document's result is the posterior probability that it is good;
-none has to pass all rules, and a rule that disagrees with the others for no
-reason loses its weight.
+none has to pass all rules that vote both ways, and one of these that disagrees
+with the others for no reason loses its weight.
 
 Defined results: a null text counts as an empty one, on which only the length
 rule votes (bad); a null or unknown language makes the stop-word rule abstain; a
@@ -18,7 +22,7 @@ for both classes (posterior exactly 0.5) a document is kept.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,8 @@ STOP_WORDS = {
     "fr": "de la le et les des en un du une que est pour qui dans par sur au ne pas ce",
     "es": "de la que el en y a los se del las un por con no una su para es al lo",
 }
+#: Rules that only vote bad: the probability of their vote on a bad text, and of their silence on a good one.
+ONE_SIDED = {"abuse": (0.2, 1 - 1e-8)}
 ABUSE = "idiot moron scum trash stupid pathetic worthless disgusting loser clown"
 
 
@@ -141,11 +147,13 @@ def digits(pattern: np.ndarray, rules: int) -> np.ndarray:
     return np.stack([pattern // 3**k % 3 for k in range(rules)], 1)
 
 
-def fit(pattern: np.ndarray, count: np.ndarray, rules: int = len(RULES), rounds: int = ROUNDS, precision: float = PRECISION) -> tuple[float, np.ndarray, np.ndarray]:
-    """(prior of good, probability of a right vote by rule and class (bad, good), posterior of good of each pattern)."""
+def fit(pattern: np.ndarray, count: np.ndarray, rules: int = len(RULES), rounds: int = ROUNDS, precision: float = PRECISION, stated: Mapping[int, tuple[float, float]] | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """(prior of good, probability of a right vote by rule and class (bad, good), posterior of good of each pattern). stated: the one-sided rules' probabilities."""
     v = digits(pattern, rules)
     good, bad = (v == GOOD).astype(float), (v == BAD).astype(float)
     prior, right = START_PRIOR, np.tile(START_RIGHT, (rules, 1))
+    for k, probabilities in (stated or {}).items():
+        good[:, k], right[k] = 1 - bad[:, k], probabilities
     post = np.full(len(pattern), prior)
     for _ in range(rounds):
         log_good = np.log(prior) + good @ np.log(right[:, 1]) + bad @ np.log(1 - right[:, 1])
@@ -157,6 +165,8 @@ def fit(pattern: np.ndarray, count: np.ndarray, rules: int = len(RULES), rounds:
         # One imagined vote of each kind keeps the probabilities off 0 and 1.
         prior = (g.sum() + 1) / (count.sum() + 2)
         right = np.stack([(b @ bad + 1) / (b @ (bad + good) + 2), (g @ good + 1) / (g @ (bad + good) + 2)], 1)
+        for k, probabilities in (stated or {}).items():
+            right[k] = probabilities
         if change < precision:
             break
     return prior, right, post
@@ -168,7 +178,7 @@ def judged(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     v = cut(votes(docs), "votes")
     seen = v.groupBy("pattern").count().orderBy("pattern").toPandas()  # at most 3 ** len(RULES) rows
     pattern = seen["pattern"].to_numpy(np.int64)
-    _, _, post = fit(pattern, seen["count"].to_numpy(float))
+    _, _, post = fit(pattern, seen["count"].to_numpy(float), stated={k: ONE_SIDED[x] for k, x in enumerate(RULES) if x in ONE_SIDED})
     d = digits(pattern, len(RULES))
     rows = [(int(p), int((x == GOOD).sum()), int((x == BAD).sum()), round(float(q), 9)) for p, x, q in zip(pattern, d, post)]
     by = spark.createDataFrame(rows, "pattern int, n_good int, n_bad int, posterior double")

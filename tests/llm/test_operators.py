@@ -359,6 +359,19 @@ def test_weak_rules_tell_junk(spark):
     assert weak_rules.judged(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_weak_rules_reject_insults(spark):
+    rng = random.Random(13)
+    rows = []
+    for d in range(300):
+        words = prose(rng, 100).split()
+        if d % 100 == 0:  # rare ones, too
+            words[rng.randrange(100)] = "idiot"
+        text = ". ".join(" ".join(words[i : i + 8]) for i in range(0, 100, 8)) + "."
+        rows.append((d, " | ".join(words) if d % 10 == 1 else text, None, "a"))
+    got = {(r.doc_id, r.keep) for r in weak_rules.judged(documents(spark, rows)).collect()}
+    assert got == {(d, d % 100 > 0 and d % 10 != 1) for d in range(300)}
+
+
 def test_features_equal_plain_python():
     texts = ["Aa bb!! c|d", None, "", "é É *** x x", "one"]
     f = weak_rules.features(pa.array(texts), ["en", None, "de", "fr", "xx"])
