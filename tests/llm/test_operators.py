@@ -210,6 +210,22 @@ def test_quality_tells_junk_from_prose(spark):
     assert kneser_ney.judged(docs.limit(0), lab, order=4).count() == 0
 
 
+def test_quality_rejects_toxic_prose(spark):
+    rng = random.Random(14)
+    insults = ["zugbalth", "hrokwenz", "pyxgurm"]
+    rows = []
+    for d in range(400):
+        words = prose(rng, 100).split()
+        if d % 5 == 0:
+            words[rng.randrange(100)] = rng.choice(insults)
+            words[rng.randrange(100)] = rng.choice(insults)
+        rows.append((d, " ".join(words), "en", "a"))
+    lab = spark.createDataFrame([(d, 1, int(d % 5 == 0)) for d in range(300)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in kneser_ney.judged(documents(spark, rows), lab, order=4).collect() if r.keep}
+    assert sum(d not in kept for d in range(300, 400, 5)) >= 19
+    assert sum(d in kept for d in range(300, 400) if d % 5) >= 72
+
+
 # Repeated passages
 
 
