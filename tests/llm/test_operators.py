@@ -82,6 +82,24 @@ def test_near_copies_match_all_pairs(spark):
     assert {d for d, _ in got} <= {d for d, _ in want}
 
 
+def test_near_copies_just_above_the_threshold(spark):
+    rng = random.Random(15)
+    rows = []
+    for g in range(120):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+        rows.append((2 * g, " ".join(w), "en", "a"))
+        for i in rng.sample(range(300), 30 + g % 31):  # similarity 0.90 to 0.80
+            w[i] = f"x{rng.randrange(10**9)}"
+        rows.append((2 * g + 1, " ".join(w), "en", "a"))
+    toks = {d: t.split() for d, t, *_ in rows}
+    # Texts of different pairs share no word, so these are all pairs.
+    assert all(edit_distance(toks[2 * g], toks[2 * g + 1]) <= 60 for g in range(0, 120, 10))
+    got = {tuple(r) for r in order_minhash.duplicates(documents(spark, rows)).collect()}
+    assert got <= {(2 * g + 1, 2 * g) for g in range(120)}
+    low = [g for g in range(120) if g % 31 >= 24]  # at most 0.82
+    assert len(got) >= 0.95 * 120 and sum((2 * g + 1, 2 * g) in got for g in low) >= 0.9 * len(low)
+
+
 def test_near_copies_odd_rows(spark):
     docs = documents(spark, [*ODD, (1, "a b c d e f g h", "en", "a"), (2, "A b, c d e f g h!", "en", "a"), (None, "a b c d e f g h", "en", "a")])
     assert [tuple(r) for r in order_minhash.duplicates(docs).collect()] == [(2, 1)]
