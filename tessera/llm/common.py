@@ -1,21 +1,29 @@
 """What the corpus operators share: the shared folder, cut lineage, and vectorised tokenising.
 
-Tokens are maximal runs of bytes that are neither ASCII white space nor ASCII
-punctuation, of the lower-cased UTF-8 text; each is represented by a 64-bit
-hash. All of it is numpy over whole Arrow buffers, so the cost is a few
-nanoseconds a byte and no Python object is made per token.
+Tokens are maximal runs of bytes that are neither white space nor punctuation
+(ASCII, and U+2000-206F, U+3000-303F, U+00A0), of the lower-cased UTF-8 text;
+each is represented by a 64-bit hash. Scripts that part no words with blanks
+(Han, kana, Thai) give a token a character. All of it is numpy over whole Arrow
+buffers, so the cost is a few nanoseconds a byte and no Python object is made
+per token.
+
+Tables that an operator writes on its way lie in the shared folder. Those that
+its result doesn't read are dropped when the operator returns (see owned), the
+others when the session's file system is closed.
 """
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -23,32 +31,130 @@ SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_TABLES: list[str] = []  # paths that were handed out and not dropped
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, only where that is unset (a local test), a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir. Only where that is unset and the master is local (a test), a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, dropped with its owner or at the session's end."""
+    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
+    _TABLES.append(path)
+    return path
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots written as __) for the time of a block."""
+    values = {k.replace("__", "."): v for k, v in values.items()}
+    old = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def written(df: DataFrame, path: str, **how: str) -> None:
+    """Write df as Parquet; its shuffle files go when that is done."""
+    spark = df.sparkSession
+    with settings(spark, **{_CLEANUP.replace(".", "__"): "true"}):
+        w = df.write
+        if "by" in how:
+            w = w.partitionBy(how["by"])
+        w.parquet(path)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there and survives the loss of executors."""
     at = scratch(df.sparkSession, name)
-    df.write.parquet(at)
+    written(df, at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+    fs.cancelDeleteOnExit(p)
+    if path in _TABLES:
+        _TABLES.remove(path)
+
+
+def roots(df: DataFrame) -> set[str]:
+    """Last parts of the paths of all file tables that df reads."""
+    out, leaves = set(), df._jdf.queryExecution().analyzed().collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() != "LogicalRelation":
+            continue
+        relation = leaf.relation()
+        if relation.getClass().getSimpleName() == "HadoopFsRelation":
+            paths = relation.location().rootPaths()
+            out |= {paths.apply(k).getName() for k in range(paths.size())}
+    return out
+
+
+def settle(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Drop the tables handed out since there were mark of them, but for those that the frames read."""
+    needed = set().union(*map(roots, keep)) if keep else set()
+    for path in _TABLES[mark:]:
+        if path.rsplit("/", 1)[-1] not in needed:
+            drop_table(spark, path)
+
+
+def owned(f: Callable) -> Callable:
+    """An operator whose tables go when it returns, but for those that its result (a frame, or several) reads."""
+
+    @functools.wraps(f)
+    def call(*args, **kwargs):
+        mark = len(_TABLES)
+        out = f(*args, **kwargs)
+        frames = [x for x in (out if isinstance(out, tuple) else (out,)) if isinstance(x, DataFrame)]
+        if len(_TABLES) > mark:
+            settle(frames[0].sparkSession, mark, *frames)
+        return out
+
+    return call
+
+
+def col(name: str) -> Column:
+    """A column by its exact name, whatever signs that holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +198,22 @@ def separators(punctuation: bool) -> np.ndarray:
 SPACES, WORD_BREAKS = separators(False), separators(True)
 
 
+def wide(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where characters begin that make a token each, or (blank) part tokens; their bytes; and which of them are blank."""
+    at = np.flatnonzero((buf >= 0xE0) | (buf == 0xC2))
+    if not len(at):
+        return at, at, np.zeros(0, bool)
+    lead = buf[at].astype(np.int64)
+    size = np.where(lead >= 0xF0, 4, np.where(lead >= 0xE0, 3, 2))
+    byte = lambda k: np.where(k < size, buf[np.minimum(at + k, len(buf) - 1)].astype(np.int64) & 63, 0)
+    code = np.where(size == 2, (lead & 31) << 6 | byte(1), np.where(size == 3, (lead & 15) << 12 | byte(1) << 6 | byte(2), (lead & 7) << 18 | byte(1) << 12 | byte(2) << 6 | byte(3)))
+    within = lambda a, b: (code >= a) & (code <= b)
+    blank = (code == 0xA0) | within(0x2000, 0x206F) | within(0x3000, 0x303F)
+    alone = within(0x0E00, 0x0E7F) | within(0x3040, 0x30FF) | within(0x3400, 0x9FFF) | within(0xF900, 0xFAFF) | within(0x20000, 0x3FFFF)
+    some = blank | alone
+    return at[some], size[some], blank[some]
+
+
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts, and the offsets of each; null counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -114,17 +236,23 @@ class Tokens:
         buf, toff = text_buffer(texts)
         n = len(buf)
         word = ~breaks[buf]
+        first, size, blank = wide(buf)
+        for k in range(4):
+            at = first[blank & (size > k)] + k
+            word[at] = False
+        first, size = first[~blank], size[~blank]
+        edges = np.r_[toff[:-1], first, first + size]  # a text, and a character of such a script, begins and ends a token
         prev = np.empty(n, bool)
         if n:
             prev[0] = False
             prev[1:] = word[:-1]
-            prev[toff[:-1][toff[:-1] < n]] = False  # a text begins a token
+            prev[edges[edges < n]] = False
         start = np.flatnonzero(word & ~prev)
         nxt = np.empty(n, bool)
         if n:
             nxt[-1] = False
             nxt[:-1] = word[1:]
-            ends = toff[1:]
+            ends = np.r_[toff[1:], first, first + size]
             nxt[ends[(ends > 0)] - 1] = False
         end = np.flatnonzero(word & ~nxt) + 1
         p, inv = powers(n + 1)
@@ -176,5 +304,6 @@ BROADCAST_ROWS = 6_000_000
 
 def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the doc_ids of ids (one column); rows with a null doc_id stay. Up to BROADCAST_ROWS ids are sent to the tasks, more are shuffled."""
-    gone = cut(ids.toDF("__gone").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    (name,) = fresh(docs, "__gone")
+    gone = cut(ids.toDF(name).distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, col("doc_id").cast("long") == col(name), "left_anti")
