@@ -15,7 +15,8 @@ Defined results: a null text counts as an empty one, and empty texts keep their
 turn; a null or unknown role, a null turn, two rows of one turn (repeated rows
 included) and a turn order that the machine rejects make the conversation
 invalid, with that reason; rows with a null conv_id form one invalid
-conversation. Rows of equal turn are ordered by role and text. The reason is
+conversation without a turn at fault, and are counted, not gathered. A
+conversation is held by one task, as its text segments are one sequence. Rows of equal turn are ordered by role and text. The reason is
 that of the first turn at fault. Other columns play no part. An empty table gives
 an empty result.
 """
@@ -73,7 +74,8 @@ def formatted(conversations: DataFrame, template: Template = CHATML) -> DataFram
     for c in template.control:
         text = F.replace(text, F.lit(c), F.lit(c[0] + "\u200b" + c[1:]))
     turns = F.array_sort(F.collect_list(F.struct(F.col("turn").cast("long").alias("turn"), "role", text.alias("text"))), _before)
-    convs = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(turns.alias("turns"))
+    ident = F.col("conv_id").cast("long")
+    convs = conversations.where(ident.isNotNull()).groupBy(ident.alias("conv_id")).agg(turns.alias("turns"))
     step = F.create_map(*[F.lit(x) for (s, r), t in template.transitions.items() for x in (f"{s}|{r}", t)])
     roles = F.array(*map(F.lit, template.parts))
 
@@ -86,7 +88,7 @@ def formatted(conversations: DataFrame, template: Template = CHATML) -> DataFram
     zero = F.struct(F.lit(template.start).alias("state"), F.lit(None).cast("long").alias("turn"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("long").alias("at"))
     end = F.aggregate("turns", zero, fold)
     convs = convs.withColumn("end", end)
-    reason = F.when(F.col("conv_id").isNull(), "null conversation").when(F.col("end.reason").isNotNull(), F.col("end.reason")).when(~F.col("end.state").isin(*template.accepting), "unfinished")
+    reason = F.when(F.col("end.reason").isNotNull(), F.col("end.reason")).when(~F.col("end.state").isin(*template.accepting), "unfinished")
     convs = convs.withColumn("reason", reason)
 
     def segments(t: F.Column) -> F.Column:
@@ -99,7 +101,10 @@ def formatted(conversations: DataFrame, template: Template = CHATML) -> DataFram
     none = F.array(F.struct(F.when(F.col("end.reason").isNotNull(), F.col("end.at")).alias("turn"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("loss")))
     body = F.when(F.col("reason").isNull(), F.flatten(F.transform("turns", segments))).otherwise(none)
     rows = convs.select("conv_id", "reason", F.posexplode(body).alias("segment", "s"))
-    return rows.select("conv_id", F.col("segment").cast("long").alias("segment"), "s.turn", "s.role", "s.text", "s.loss", F.col("reason").isNull().alias("valid"), "reason")
+    out = rows.select("conv_id", F.col("segment").cast("long").alias("segment"), "s.turn", "s.role", "s.text", "s.loss", F.col("reason").isNull().alias("valid"), "reason")
+    none = conversations.where(ident.isNull()).agg(F.count("*").alias("n")).where("n > 0")
+    void = [F.lit(None).cast(kind) for kind in ("long", "string", "string", "boolean")]
+    return out.union(none.select(F.lit(None).cast("long"), F.lit(0).cast("long"), *void, F.lit(False), F.lit("null conversation")))
 
 
 def _before(a: F.Column, b: F.Column) -> F.Column:
@@ -123,7 +128,7 @@ with turns as (select conv_id, turn, role, replace(replace(coalesce(text, ''), '
 faults as (select *, case when turn is null then 'null turn' when turn = p_turn then 'repeated turn' when role is null or role not in ('system', 'user', 'assistant') then 'unknown role'
   when not (case when k = 1 then role in ('system', 'user') when p_role = 'system' then role = 'user' when p_role = 'user' then role = 'assistant' when p_role = 'assistant' then role = 'user' else true end) then 'unexpected role' end as fault from turns),
 convs as (select conv_id, case when conv_id is null then 'null conversation' when count(fault) > 0 then arg_min(fault, k) filter (where fault is not null) when max(role) filter (where k = n) <> 'assistant' then 'unfinished' end as reason,
-  case when count(fault) > 0 then arg_min_null(turn, k) filter (where fault is not null) end as fault_turn from faults group by conv_id),
+  case when conv_id is not null and count(fault) > 0 then arg_min_null(turn, k) filter (where fault is not null) end as fault_turn from faults group by conv_id),
 parts as (select t.conv_id, t.turn, t.role, t.k, x.part, x.text, x.loss from turns t join convs c on c.conv_id = t.conv_id and c.reason is null, lateral (
   select 0 as part, '<|im_start|>' || t.role || chr(10) || case when t.role = 'assistant' then '' else t.text || '<|im_end|>' || chr(10) end as text, false as loss
   union all select 1, t.text || '<|im_end|>', true where t.role = 'assistant'
