@@ -15,13 +15,18 @@ the ARC date; WARC-Record-ID is a UUID made of the MD5 of archive, offset, URL
 and date, so converting again gives the same; the block digest, and for
 responses the digest of what follows the HTTP header, are SHA-1 in base 32.
 
-Defined results: every archive gives at least one row. A null or empty content
-gives one with error "empty archive"; a header line of a wrong field count or
-with a length that isn't a number gives error "bad header" and ends the
-archive; a block cut short by the end gives "truncated" with the digests of what is there;
-a date that isn't 14 digits (12 and 8 are filled up with zeros) gives "bad date" and a null
-date. A null name is an empty one. Rows with errors have no record. Repeated
-rows are converted each; other columns play no part.
+Defined results: every archive gives at least one row, and nothing is lost
+without one. A null or empty content gives one with error "empty archive". A
+damaged gzip member gives one with "bad gzip" after what could be unpacked of
+it, and the next member goes on. A header line whose fields can't be told apart,
+or with a length that isn't a number, gives "bad header", and reading goes on at
+the next line that is a sound header with a date. A URL or content type may hold
+blanks: the fields are then found from the right, around address and date. A block cut
+short by the end gives "truncated" with the digests of what is there; a date
+that isn't 14 digits (12 and 8 are filled up with zeros) or no date of the
+calendar gives "bad date" and a null date. A null name is an empty one. Rows
+with errors have no record. Offsets count unpacked bytes. Repeated rows are
+converted each, very long records in batches of their own; other columns play no part.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from datetime import datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,19 +49,47 @@ ARCHIVE_PAGES = 50
 SCHEMA = "archive string, offset long, version int, type string, record_id string, target_uri string, ip string, date string, content_type string, length long, block_digest string, payload_digest string, error string, record binary"
 
 
-def unpacked(data: bytes) -> bytes:
-    """All members of a gzip file, one after the other; other data as it is."""
+BATCH_BYTES = 64 << 20
+#: Address and date tell the fields apart where there are more blanks than fields.
+_FIELDS = {
+    1: re.compile(r"(.+) ([0-9A-Fa-f.:]{2,45}|-) (\d{14}|\d{12}|\d{8}) (.+) (\d+)"),
+    2: re.compile(r"(.+) ([0-9A-Fa-f.:]{2,45}|-) (\d{14}|\d{12}|\d{8}) (.+) (\S+) (\S+) (\S+) (\d+|-) (\S+) (\d+)"),
+}
+_LINE = re.compile(rb"(?m)^[A-Za-z][A-Za-z0-9+.\-]*:[^\n]*$")
+
+
+def unpacked(data: bytes) -> Iterator[tuple[bytes, bool]]:
+    """What successive sound members of a gzip file hold, with whether a damaged one ends it; other data as it is."""
     if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        d = zlib.decompressobj(31)
+        yield data, False
+        return
+    out: list[bytes] = []
+    while data:
+        d, sound = zlib.decompressobj(31), True
         try:
-            out.append(d.decompress(data) + d.flush())
+            # In pieces, so that what stands before the damage is there.
+            for at in range(0, len(data), 1 << 16):
+                out.append(d.decompress(data[at : at + (1 << 16)]))
+                if d.eof:
+                    data = d.unused_data + data[at + (1 << 16) :]
+                    break
+            else:
+                out.append(d.flush())
+                sound = False
         except zlib.error:
-            break
-        data = d.unused_data
-    return b"".join(out)
+            sound = False
+        if sound:
+            if data[:2] != b"\x1f\x8b" and data.strip(b"\0\n\r"):
+                sound = False
+            elif not data.strip(b"\0\n\r"):
+                break
+        if not sound:
+            yield b"".join(out), True
+            out = []
+            at = data.find(b"\x1f\x8b\x08", 1)
+            data = data[at:] if at > 0 else b""
+    if out:
+        yield b"".join(out), False
 
 
 def digest(data: bytes) -> str:
@@ -70,8 +104,29 @@ def record_id(archive: str, offset: int, url: str, date: str) -> str:
 def iso_date(arc: str) -> str | None:
     if not re.fullmatch(r"\d{8}|\d{12}|\d{14}", arc):
         return None
-    d = arc.ljust(14, "0")
-    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:]}Z"
+    d = arc.ljust(14, "0") if len(arc) > 8 else arc + "000000"
+    try:
+        return datetime.strptime(d, "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ").zfill(20)
+    except ValueError:
+        return None
+
+
+def header(line: str, version: int) -> list[str] | None:
+    """The fields of a header line, or None."""
+    f = line.split(" ")
+    if len(f) == FIELDS[version] and all(f) and f[-1].isdecimal():
+        return f
+    m = _FIELDS[version].fullmatch(line)
+    return list(m.groups()) if m else None
+
+
+def next_header(data: bytes, at: int, version: int) -> int:
+    """Where the next line begins, after at, that is a sound header with a date; the end if none is."""
+    for m in _LINE.finditer(data, at + 1):
+        f = header(m.group().decode("utf-8", "replace").rstrip("\r"), version)
+        if f and iso_date(f[2]):
+            return m.start()
+    return len(data)
 
 
 def payload(block: bytes) -> bytes:
@@ -89,26 +144,40 @@ def warc(fields: list[tuple[str, str | None]], block: bytes) -> bytes:
 
 
 def records(archive: str, data: bytes) -> Iterator[tuple]:
-    data = unpacked(data)
-    if not data.strip():
-        yield (archive, 0, None, *[None] * 9, "empty archive", None)
-        return
-    at, version = 0, 1
+    fault = lambda at, version, what: (archive, at, version, *[None] * 9, what, None)
+    base, version, any_ = 0, 1, False
+    for part, damaged in unpacked(data):
+        if part.strip():
+            any_ = True
+            for version, row in part_records(archive, part, base, version):
+                yield row
+        base += len(part)
+        if damaged:
+            any_ = True
+            yield fault(base, version, "bad gzip")
+    if not any_:
+        yield fault(0, None, "empty archive")
+
+
+def part_records(archive: str, data: bytes, base: int, version: int) -> Iterator[tuple[int, tuple]]:
+    """The version and a row for each record of a sound stretch of an archive that begins base bytes in."""
+    at = 0
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
             at += 1
             continue
         end = data.find(b"\n", at)
         line = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").rstrip("\r")
-        f = line.split(" ")
         first = line.startswith("filedesc://")
         if first:
             # Its own version decides how its header line reads.
             v = data[end + 1 : end + 3].split(b" ")[0] if end >= 0 else b""
             version = 2 if v == b"2" else 1
-        if end < 0 or len(f) != FIELDS[version] or not f[-1].isdecimal():
-            yield (archive, at, version, *[None] * 9, "bad header", None)
-            return
+        f = header(line, version) if end >= 0 else None
+        if f is None:
+            yield version, (archive, base + at, version, *[None] * 9, "bad header", None)
+            at = next_header(data, at, version)
+            continue
         size = int(f[-1])
         block = data[end + 1 : end + 1 + size]
         url, ip, day, kind = f[:4]
@@ -116,12 +185,12 @@ def records(archive: str, data: bytes) -> Iterator[tuple]:
         error = "truncated" if len(block) < size else None if date else "bad date"
         http = block.startswith(b"HTTP/")
         what = "warcinfo" if first else "response" if http else "resource"
-        ident = record_id(archive, at, url, day)
+        ident = record_id(archive, base + at, url, day)
         content = "application/http; msgtype=response" if http else kind
         bd = digest(block)
         pd = digest(payload(block)) if http else None
         head = [("WARC-Type", what), ("WARC-Record-ID", ident), ("WARC-Date", date), ("WARC-Target-URI", None if first else url), ("WARC-Filename", url[11:] if first else None), ("WARC-IP-Address", ip if ip not in ("-", "0.0.0.0") else None), ("WARC-Block-Digest", bd), ("WARC-Payload-Digest", pd), ("Content-Type", content)]
-        yield (archive, at, version, what, ident, url, ip, date, content, len(block), bd, pd, error, None if error else warc(head, block))
+        yield version, (archive, base + at, version, what, ident, url, ip, date, content, len(block), bd, pd, error, None if error else warc(head, block))
         at = end + 1 + size
 
 
@@ -134,11 +203,13 @@ def converted(archives: DataFrame) -> DataFrame:
         for b in batches:
             for name, content in zip(b.column("name"), b.column("content")):
                 rows: list[tuple] = []
+                held = 0
                 for r in records(name.as_py() or "", content.as_py() or b""):
                     rows.append(r)
-                    if len(rows) == 1000:
+                    held += len(r[-1] or b"")
+                    if len(rows) == 1000 or held >= BATCH_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
 
