@@ -7,14 +7,19 @@
    shares at least one phrase, because MIN_TOKENS >= 2 * WINDOW + GRAM - 1.
    Phrases that occur once can lie in no repeat; each maximal run of the others
    in a document is a chain, closed by a symbol of its own.
-2. Suffix array of the chains (DC3, Kärkkäinen and Sanders): the triples at
+2. Fold. Chains of equal phrases are one class; each member in another
+   document than its partner matches it over the whole chain, which no other
+   suffix can exceed. One chain of such a class goes on, so a licence text that
+   stands in a third of all documents is one chain from here.
+3. Suffix array of the chains (DC3, Kärkkäinen and Sanders): the triples at
    positions 1 and 2 mod 3 are range-sorted and named; names that aren't all
    different are sorted by recursion; then the suffixes at 0 mod 3 are merged,
    comparing each with the sampled ones by one or two symbols and a rank.
    Ranges are cut by three symbols, so no frequent phrase makes a range of its own.
-3. Adjacent prefixes: every suffix is compared with its nearest neighbours of
-   other documents in the order, up to MIN_TOKENS tokens of whole phrases.
-4. The matches are extended token by token at both ends and united per document.
+4. Adjacent prefixes: every suffix is compared with its nearest neighbours of
+   other documents in the order, up to MIN_TOKENS tokens of whole phrases; at
+   the seams of ranges, too, so where they are cut makes no difference.
+5. The matches are extended token by token at both ends and united per document.
 
 Reported: (doc_id, first_token, n_tokens, other_doc_id), the maximal stretches
 of at least MIN_TOKENS tokens that were matched so; every one of them is made
@@ -22,15 +27,15 @@ of passages of that length that stand in another document too. other_doc_id is
 one of the documents that hold its first passage.
 
 Defined results: a null text counts as an empty one, and texts of under
-MIN_TOKENS tokens repeat nothing; rows with a null doc_id are left out;
+MIN_TOKENS tokens repeat nothing; very long ones are parsed whole; rows with a null doc_id are left out;
 identical repeated rows count once, and different texts under one doc_id are
-one document, so what they share is not reported; other columns play no part.
-Of equal partners the lowest doc_id is named.
+one document, so what they share is not reported; an empty table gives an empty result; other columns play no part.
+Of equal partners the lowest doc_id is named. Scripts without blanks are cut
+into characters, so MIN_TOKENS counts those there.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Tokens, cut, mix, per_token, powers, slices, table, window_hash
+from .common import U64, Tokens, cut, mix, owned, per_token, powers, slices, table, window_hash
 
 MIN_TOKENS = 50
 GRAM, WINDOW = 5, 22
@@ -96,11 +101,11 @@ def _list(v: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def chains(repeated: DataFrame) -> DataFrame:
-    """(c, p, doc_id, t, starts, lens, vs): runs of successive repeated phrases of a document; vs ends with a symbol that occurs once."""
+    """(c, p, k, doc_id, t, starts, lens, vs): runs of successive repeated phrases of a document; vs ends with a symbol that occurs once, k is a hash of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
-            out: dict[str, list] = {k: [] for k in ("c", "doc_id", "t", "starts", "lens", "vs")}
+            out: dict[str, list] = {k: [] for k in ("c", "k", "doc_id", "t", "starts", "lens", "vs")}
             for d, t, rows in zip(r.column("doc_id").to_pylist(), r.column("t").to_pylist(), r.column("rows")):
                 f = rows.values
                 i = f.field("i").to_numpy(zero_copy_only=False)
@@ -109,15 +114,16 @@ def chains(repeated: DataFrame) -> DataFrame:
                 for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i) > 1) + 1):
                     c = np.array([xxhash.xxh64_intdigest(np.array([d, t, i[part[0]]], np.int64).tobytes())], U64).view(np.int64)
                     out["c"].append(int(c[0]))
+                    out["k"].append(xxhash.xxh64_intdigest(h[part].tobytes()) - (1 << 63))
                     out["doc_id"].append(d)
                     out["t"].append(t)
                     out["starts"].append(start[part])
                     out["lens"].append(n[part])
                     out["vs"].append(np.r_[h[part], mix(c.view(U64)).view(np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(out["c"], pa.int64()), pa.array([1] * len(out["c"]), pa.int64()), pa.array(out["doc_id"], pa.int64()), pa.array(out["t"], pa.int32()), _list(out["starts"], pa.int32()), _list(out["lens"], pa.int32()), _list(out["vs"], pa.int64())], ["c", "p", "doc_id", "t", "starts", "lens", "vs"])
+            yield pa.RecordBatch.from_arrays([pa.array(out["c"], pa.int64()), pa.array([1] * len(out["c"]), pa.int64()), pa.array(out["k"], pa.int64()), pa.array(out["doc_id"], pa.int64()), pa.array(out["t"], pa.int32()), _list(out["starts"], pa.int32()), _list(out["lens"], pa.int32()), _list(out["vs"], pa.int64())], ["c", "p", "k", "doc_id", "t", "starts", "lens", "vs"])
 
     rows = repeated.groupBy("doc_id", "t").agg(F.collect_list(F.struct("i", "start", "n", "h")).alias("rows"))
-    return rows.mapInArrow(run, "c long, p long, doc_id long, t int, starts array<int>, lens array<int>, vs array<long>")
+    return rows.mapInArrow(run, "c long, p long, k long, doc_id long, t int, starts array<int>, lens array<int>, vs array<long>")
 
 
 def _ragged(r: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -255,7 +261,7 @@ def suffixes(chain: DataFrame, payload: bool) -> DataFrame:
     return ranged.mapInArrow(merge, "c long, p long, i int, rank long")
 
 
-_MATCH = "doc_id long, t int, start int, n int, o_doc long, o_t int, o_start int, pre binary, edge int, pid int"
+_MATCH = "doc_id long, t int, start int, n int, o_doc long, o_t int, o_start int, pre binary, edge int, pid int, seq int"
 
 
 def common_tokens(pre: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -276,7 +282,7 @@ def common_tokens(pre: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def neighbours(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    """For each suffix of a sorted range the longer match with the nearest suffix of another document above or below; also the range's first and last suffix, for the seams between ranges."""
+    """For each suffix of a sorted range the longer match with the nearest suffix of another document above or below. Also, for the seams between ranges, the suffixes at either end of the range that are of one document, and the next one of another."""
     t = t.filter(pa.compute.is_valid(t.column("pre")))
     if not t.num_rows:
         return
@@ -294,26 +300,49 @@ def neighbours(t: pa.Table) -> Iterator[pa.RecordBatch]:
         best[rows[better]], other[rows[better]] = m[better], o[ok][better]
     pid = TaskContext.get().partitionId()
     hit = np.flatnonzero(best)
-    edges = [0, n - 1]
+    head, tail = np.arange(min(n, last[0] + 2)), np.arange(max(0, first[-1] - 1), n)
+    edges = np.r_[head, tail]
     rows = np.r_[hit, edges]
     yield pa.RecordBatch.from_arrays(
-        [pa.array(doc[rows]), pa.array(key[rows]), pa.array(start[rows]), pa.array(best[rows].astype(np.int32)), pa.array(doc[other[rows]]), pa.array(key[other[rows]]), pa.array(start[other[rows]]), pa.array([None] * len(hit) + [pre[i] for i in edges], pa.binary()), pa.array([0] * len(hit) + [1, 2], pa.int32()), pa.array(np.full(len(rows), pid, np.int32))],
+        [pa.array(doc[rows]), pa.array(key[rows]), pa.array(start[rows]), pa.array(best[rows].astype(np.int32)), pa.array(doc[other[rows]]), pa.array(key[other[rows]]), pa.array(start[other[rows]]), pa.array([None] * len(hit) + [pre[i] for i in edges], pa.binary()), pa.array(np.repeat([0, 1, 2], [len(hit), len(head), len(tail)]).astype(np.int32)), pa.array(np.full(len(rows), pid, np.int32)), pa.array(rows.astype(np.int32))],
         [c.split()[0] for c in _MATCH.split(", ")],
     )
 
 
 def seams(edges: list) -> list[tuple]:
-    """Matches between the last suffix of each range and the first of the next."""
-    firsts = sorted((r for r in edges if r.edge == 1), key=lambda r: r.pid)
-    lasts = sorted((r for r in edges if r.edge == 2), key=lambda r: r.pid)
+    """Matches across the seams: of each suffix at an end of its range that has only its own document between it and the end, with the nearest of another document beyond."""
     out = []
-    for a, b in zip(lasts, firsts[1:]):
-        n = int(common_tokens([bytes(a.pre), bytes(b.pre)], np.array([0]), np.array([1]))[0])
-        if n and a.doc_id != b.doc_id:
-            out += [(x.doc_id, x.t, x.start, n, y.doc_id, y.t, y.start) for x, y in ((a, b), (b, a))]
+    for edge, step in ((2, 1), (1, -1)):
+        # Going on upwards from the ends of ranges, then downwards from their beginnings.
+        ends: dict[int, list] = {}
+        for r in edges:
+            ends.setdefault(r.pid, [[], []])[r.edge - 1].append(r)
+        order = sorted(ends)[::step]
+        near = {p: sorted(ends[p][2 - edge], key=lambda r: step * r.seq) for p in order}
+        for k, p in enumerate(order):
+            own = ends[p][edge - 1]
+            d = max(own, key=lambda r: step * r.seq).doc_id
+            beyond = next((r for q in order[k + 1 :] for r in near[q] if r.doc_id != d), None)
+            if beyond is None:
+                continue
+            for r in own:
+                if r.doc_id == d and (n := int(common_tokens([bytes(r.pre), bytes(beyond.pre)], np.array([0]), np.array([1]))[0])):
+                    out.append((r.doc_id, r.t, r.start, n, beyond.doc_id, beyond.t, beyond.start))
     return out
 
 
+def folded(chain: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The matches of chains with equal ones of other documents, and the chains that the suffix array needs: one of each such class, and all others."""
+    own = F.struct("doc_id", "t", F.col("starts")[0].alias("start"), "c")
+    classes = cut(chain.groupBy("k").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo.doc_id <> hi.doc_id"), "classes")
+    both = chain.join(classes, "k")
+    partner = F.when(F.col("doc_id") == F.col("lo.doc_id"), F.col("hi")).otherwise(F.col("lo"))
+    n = F.aggregate("lens", F.lit(0), lambda s, x: s + x)
+    direct = both.select("doc_id", "t", F.col("starts")[0].alias("start"), n.alias("n"), partner.alias("o")).select("doc_id", "t", "start", "n", F.col("o.doc_id").alias("o_doc"), F.col("o.t").alias("o_t"), F.col("o.start").alias("o_start"))
+    one = chain.join(classes.select("k", F.col("lo.c").alias("rep")), "k", "left").where("rep is null or c = rep").drop("k", "rep")
+    return direct, one
+
+
 def requests(matches: DataFrame, min_tokens: int) -> DataFrame:
     """Per document: what is certain, matches of at least min_tokens united (rid null), and the matches whose ends have to be extended."""
 
@@ -389,25 +418,18 @@ def extended(docs: DataFrame, ask: DataFrame, min_tokens: int) -> DataFrame:
     return both.drop("rid").mapInArrow(grow, "doc_id long, t int, a int, b int, o_doc long").where(f"b - a >= {min_tokens}")
 
 
-def free(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of what is finished."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
+@owned
 def repeats(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(doc_id, first_token, n_tokens, other_doc_id) for each passage of at least min_tokens tokens that another document has too."""
     if min_tokens < 2 * WINDOW + GRAM - 1:
         raise ValueError(f"min_tokens must be at least {2 * WINDOW + GRAM - 1}")
     spark = docs.sparkSession
     seen = phrases(docs).selectExpr("*", "min(struct(doc_id, t)) over (partition by h) as lo", "max(struct(doc_id, t)) over (partition by h) as hi").where("lo <> hi").drop("lo", "hi")
-    chain = cut(chains(seen), "chains")
-    free(spark)
-    found = cut(suffixes(chain, True), "matches")
-    free(spark)
+    direct, one = folded(cut(chains(seen), "chains"))
+    found = cut(suffixes(cut(one, "distinct"), True), "matches")
     columns = ["doc_id", "t", "start", "n", "o_doc", "o_t", "o_start"]
-    matches = found.where("edge = 0").select(columns)
-    extra = seams(found.where("edge > 0").collect())  # two rows a range
+    matches = found.where("edge = 0").select(columns).union(direct)
+    extra = seams(found.where("edge > 0").collect())  # a few rows a range
     if extra:
         matches = matches.union(spark.createDataFrame(extra, "doc_id long, t int, start int, n int, o_doc long, o_t int, o_start int"))
     asked = cut(requests(matches, min_tokens), "requests")
