@@ -41,43 +41,52 @@ def _walk(path: str, c: Column, kind: T.DataType) -> list[Column]:
 def flatten(df: DataFrame, order_by: list[str] | None = None, fields: list[str] | None = None) -> DataFrame:
     """(pos, field, kind, value, is_str). pos orders records: the order_by columns, or the order of the rows as read."""
     pos = F.struct(*order_by) if order_by else F.monotonically_increasing_id()
-    cells = [x for f in df.schema if f.name != HIDDEN for x in _walk(f.name, F.col(f"`{f.name}`"), f.dataType)]
+    tops = {f.split(".")[0] for f in fields or ()}  # other columns aren't read
+    cells = [x for f in df.schema if f.name != HIDDEN and (not fields or "." in f.name or f.name in tops) for x in _walk(f.name, F.col(f"`{f.name}`"), f.dataType)]
     none = F.array().cast("array<struct<field:string,kind:string,value:string,is_str:boolean>>")
     rows = df.select(pos.alias("pos"), (F.flatten(F.array(*cells)) if cells else none).alias("cells"))
     long = rows.select("pos", F.explode("cells").alias("c")).select("pos", "c.*")
     return long.where(F.col("field").isin(*fields)) if fields else long
 
 
+def _depth(kind: str) -> int:
+    """How deep records and lists nest in a variant schema."""
+    deep = most = 0
+    for c in kind:
+        deep += (c == "<") - (c == ">")
+        most = max(most, deep)
+    return most
+
+
 def flatten_json(df: DataFrame, column: str, order_by: list[str] | None = None) -> DataFrame:
     """The same for a VARIANT column of ragged records: a missing key gives nothing, an explicit null the kind empty."""
     pos = F.struct(*order_by) if order_by else F.monotonically_increasing_id()
+    # One pass finds the depth of the data; the levels are then one plan.
+    levels = _depth(df.select(F.schema_of_variant_agg(column)).first()[0] or "")
     at = df.select(pos.alias("pos"), F.lit("").alias("field"), F.col(column).alias("v"))
-    out = None
-    while True:
-        # One level a round; a level without records ends it, so the rounds are as many as the data are deep.
-        kind = F.schema_of_variant("v")
-        objects, arrays = at.where(kind.startswith("OBJECT")), at.where(kind.startswith("ARRAY"))
-        scalar = at.where(~(kind.startswith("OBJECT") | kind.startswith("ARRAY")) & (F.col("field") != ""))
+    explode, out = df.sparkSession.tvf.variant_explode, None
+    for level in range(levels + 1):
         k = F.schema_of_variant("v")
+        record, listed = k.startswith("OBJECT"), k.startswith("ARRAY")
         text = F.col("v").cast("string")
         value = F.when(k == "BOOLEAN", F.initcap(text)).when(k == "VOID", F.lit(None)).otherwise(text)
         kinds = F.when(k == "VOID", "empty").when(k == "BOOLEAN", "bool").when(k == "BIGINT", "int").when((k == "DOUBLE") | k.startswith("DECIMAL"), "float").otherwise(value_kind(value, T.StringType()))
-        leaf = scalar.select("pos", "field", kinds.alias("kind"), value.alias("value"), (k == "STRING").alias("is_str"))
+        leaf = at.where(~(record | listed) & (F.col("field") != "")).select("pos", "field", kinds.alias("kind"), value.alias("value"), (k == "STRING").alias("is_str"))
         out = leaf if out is None else out.union(leaf)
-        if objects.isEmpty() and arrays.isEmpty():
-            return out
-        objects.createOrReplaceTempView("__objects")
-        arrays.createOrReplaceTempView("__arrays")
-        spark = df.sparkSession
-        deeper = spark.sql(f"select o.pos, concat_ws('.', nullif(o.field, ''), e.k) as field, e.x as v from __objects o, lateral variant_explode(o.v) as e(n, k, x) where e.k <> '{HIDDEN}'")
-        items = spark.sql("select o.pos, o.field, e.x as v from __arrays o, lateral variant_explode(o.v) as e(n, k, x)")
-        at = deeper.union(items.where(F.schema_of_variant("v").startswith("OBJECT")))
+        if level == levels:
+            break
+        each = at.where(record | listed).select("pos", "field", "v", record.alias("record")).lateralJoin(explode(F.col("v").outer()).toDF("n", "key", "x"))
+        path = F.when(F.col("record"), F.concat_ws(".", F.nullif("field", F.lit("")), F.col("key"))).otherwise(F.col("field"))
+        # Of a list's elements only records count; values in lists are dropped.
+        use = F.when(F.col("record"), F.coalesce(F.col("key") != HIDDEN, F.lit(False))).otherwise(F.schema_of_variant("x").startswith("OBJECT"))
+        at = each.where(use).select("pos", path.alias("field"), F.col("x").alias("v"))
+    return out
 
 
 def headers(long: DataFrame, limit: int | None = 1000) -> DataFrame:
-    """(field, ord): the fields of the first limit records, numbered as first seen."""
+    """(field, ord): the fields of the first limit records, numbered as first seen. scan() cuts the records before it flattens them and passes None."""
     if limit is not None:
-        first = long.select("pos").distinct().orderBy("pos").limit(limit)
+        first = long.groupBy("pos").agg(F.lit(1).alias("one")).select("pos").orderBy("pos").limit(limit)  # a top-k: nothing is sorted as a whole
         long = long.join(F.broadcast(first), "pos", "left_semi")  # limit rows
     seen = long.groupBy("field").agg(F.min("pos").alias("p"))
     return seen.selectExpr("field", "row_number() over (order by p, field) as ord")

@@ -32,7 +32,7 @@ def capital(name: Column) -> Column:
 
 
 def payload(report: DataFrame, dataset: str, target: str = "urn", min_confidence: float = 0.0, pii_tags: bool = True, datatype_tags: bool = True, terms: bool = True, properties: bool = True) -> DataFrame:
-    """(key, address, tags, terms, properties) of each field that has anything to tell. target: urn, fqn or qualified."""
+    """(key, address, tags, terms, properties, n_matches) of each field that has anything to tell; n_matches counts the matches that reach min_confidence. target: urn, fqn or qualified."""
     good = F.filter("matches", lambda m: m["confidence"] >= min_confidence)
     address = {"urn": F.concat(F.lit(f"urn:li:schemaField:({dataset},"), F.col("key"), F.lit(")")), "fqn": F.concat(F.lit(dataset + "."), F.col("key")), "qualified": F.concat(F.lit(dataset + "."), F.col("key"))}[target]
     names = F.array_distinct(F.transform(good, lambda m: m["dataclass"]))
@@ -50,6 +50,7 @@ def payload(report: DataFrame, dataset: str, target: str = "urn", min_confidence
         F.array_distinct(F.concat(pii, F.transform(names, capital) if datatype_tags else none)).alias("tags"),
         (F.transform(names, lambda x: term(x, target)) if terms else none).alias("terms"),
         F.when(some & F.lit(properties), facts).alias("properties"),
+        F.size(good).alias("n_matches"),
     )
     return out.where((F.size("tags") > 0) | (F.size("terms") > 0) | F.col("properties").isNotNull())
 

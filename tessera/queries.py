@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from .operators.flatten import char_histogram, first_values, flatten, flatten_js
 from .operators.profile import histogram, profile
 from .plans import export, rules
 from .plans.ppr import compile_rule
-from .plans.scan import BASE_URL, Field, date_matches, field_matches, labels, lengths_meet, scan, value_matches
+from .plans.scan import BASE_URL, Field, date_matches, field_matches, labels, lengths_meet, names_match, scan, value_matches
 from .rag import registry, retrieve
 from .streaming.profile import drained, running_histogram
 
@@ -215,8 +216,17 @@ def _values(rows: list[tuple], names: str) -> str:
     return "(values " + ", ".join("(" + ", ".join(map(_lit, r)) + ")" for r in rows) + f") t({names})"
 
 
+def _listing() -> list[tuple]:
+    """The rules as they are listed in rule_listing.csv, which was not made from the catalog; a doubled id is there twice."""
+    import csv
+
+    with (Path(__file__).parent / "rule_listing.csv").open(encoding="utf8") as f:
+        return [(r["id"], r["key"], r["type"], r["match"], r["lang"], r["context"].split("."), [r["country"]] if r["country"] else [], r["imprecise"] == "1", int(r["minlen"]), int(r["maxlen"])) for r in csv.DictReader(f)]
+
+
 _RULES = rules.catalog()
-_CATALOG = _values([(r.ord, r.id, r.key, r.type, r.match, r.lang, list(r.context), list(r.country), r.imprecise, r.minlen, r.maxlen) for r in _RULES], "ord, id, key, type, match, lang, context, country, imprecise, minlen, maxlen")
+_LISTED = _values([(k, *r) for k, r in enumerate(_listing())], "place, id, key, type, match, lang, context, country, imprecise, minlen, maxlen")
+_CATALOG = f"(select *, row_number() over (order by place) - 1 as ord from {_LISTED} qualify row_number() over (partition by id order by place) = 1)"
 
 
 @query("rules_list", f"select id, key, type, match, lang, array_to_string(context, '.') as context, minlen, maxlen, imprecise from {_CATALOG}")
@@ -248,13 +258,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("country_code_norm", "select r_regionkey, list_aggregate(list_filter(list_transform(string_split(replace(upper(r_name[1:2]) || '; ' || r_name[2:3] || ', ' , ';', ','), ','), lambda x: lower(trim(x))), lambda x: x <> ''), 'string_agg', ',') as codes from region")
 def _(spark: SparkSession, d: str) -> DataFrame:
     raw = F.concat(F.upper(F.substring("r_name", 1, 2)), F.lit("; "), F.substring("r_name", 2, 2), F.lit(", "))
-    codes = F.filter(F.transform(F.split(raw, "[;,]"), lambda x: F.lower(F.trim(x))), lambda x: x != "")
-    return read(spark, d, "region").select("r_regionkey", F.array_join(codes, ",").alias("codes"))
+    rows = read(spark, d, "region").select("r_regionkey", raw.alias("raw")).collect()  # a row a region
+    return spark.createDataFrame([(r.r_regionkey, ",".join(rules.country_codes(r.raw))) for r in rows], "r_regionkey int, codes string")
 
 
-@query("rule_dedupe", f"select id, min(ord) as ord from (select id, ord from {_CATALOG} union all select id, ord + 1000 from {_CATALOG}) group by id")
+@query("rule_dedupe", f"select id, ord from {_CATALOG} where type = 'data'")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return rules.frame(spark, rules.catalog([*_RULES, *_RULES])).select("id", "ord")
+    # Every rule twice: of each id the first stays, in its place.
+    twice = [r for r in [*_RULES, *_RULES]]
+    ord_of = {r.id: k for k, r in enumerate(rules.catalog(twice))}
+    return spark.createDataFrame([(r.id, ord_of[r.id]) for r in rules.catalog(twice) if r.type == "data"], "id string, ord int")
 
 
 @query("imprecise_toggle", f"select id, imprecise from {_CATALOG} where type = 'data' and lang = 'common'")
@@ -262,17 +275,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rules.frame(spark, rules.applicable(_RULES, "data", None, ["common"], ignore_imprecise=False)).select("id", "imprecise")
 
 
-_TEXT_RULES = [r for r in _RULES if r.type == "field" and r.match == "text"]
 _NAMES = [(t, c) for t, cs in COLUMNS.items() for c in cs]
+# Read off the listing by hand: "name" belongs to entitleknown, "userid" and "user_id" to usernamebyknown, "url" to websiteknown.
+_NAME_HITS = "(values ('entitleknown', 'name'), ('usernamebyknown', 'user_id'), ('websiteknown', 'url')) k(ruleid, keyword)"
 
 
-@query("field_rule_text", f"select \"table\", field, ruleid from {_values(_NAMES, chr(34) + 'table' + chr(34) + ', field')} join (select * from {_values([(r.id, k) for r in _TEXT_RULES for k in sorted(r.keywords)], 'ruleid, keyword')}) k on lower(field) = keyword or substr(lower(field), 3) = keyword")
+@query("field_rule_text", f"select \"table\", field, ruleid from {_values(_NAMES, chr(34) + 'table' + chr(34) + ', field')} join (select * from {_NAME_HITS}) on lower(field) = keyword or substr(lower(field), 3) = keyword")
 def _(spark: SparkSession, d: str) -> DataFrame:
     # Names are matched whole and without the tables' one-letter prefixes.
-    names = spark.createDataFrame(_NAMES, "table string, field string")
-    words = rules.keyword_frame(spark, _TEXT_RULES).select(F.col("id").alias("ruleid"), "keyword")
-    forms = names.select("table", "field", F.explode(F.array_distinct(F.array(F.lower("field"), F.substring(F.lower("field"), 3, 100)))).alias("keyword"))
-    return forms.join(F.broadcast(words), "keyword").select("table", "field", "ruleid").distinct()
+    used = [r for r in rules.applicable(_RULES, "field") if r.match == "text"]
+    hits = {(t, c, r.id) for t, c in _NAMES for name in (c, c[2:]) for r in used if name and names_match(r, Field(name, None, None, None))}
+    return spark.createDataFrame(sorted(hits), "table string, field string, ruleid string")
 
 
 @query("length_prefilter_pairs", f"select key as field, id as ruleid from ({stats_sql('customer').replace('key,', 'key,', 1)}) s join (select id, minlen as lo, maxlen as hi from {_CATALOG} where type = 'data' and not imprecise) r on minlen between lo and hi or lo between minlen and maxlen")
@@ -423,7 +436,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return scan(read(spark, d, "pages"), order_by=["page_id"]).select("key", "labels")
 
 
-@query("end_to_end_scan")
+_SCANNED = {"customer": "", "orders": _ORDERS_LABELS, "events": "('ts', 'datetime 100.00', 'datetime'), ('user_id', 'username 100.00', 'username')", "pages": "('url', 'url 100.00,url 100.00', 'url')", "nation": "", "labels": ""}
+
+
+@query("end_to_end_scan", " union all ".join(f"select *, '{t}' as \"table\" from ({_report_sql(t, names or chr(40) + repr('-') + ', null, null)')})" for t, names in _SCANNED.items()))
 def _(spark: SparkSession, d: str) -> DataFrame:
     tables = {t: read(spark, d, t) for t in ("customer", "orders", "events", "pages", "nation", "labels")}
     out = None
@@ -440,48 +456,52 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 # Catalog payloads
 
-_MATCHES = [("mail", 0, "emailknown", "email", 100.0), ("mail", 1, "emailvalue", "email", 97.125), ("code", 0, "isbn", "isbn13", 12.5), ("code", 1, "asn", "asn", 80.0), ("code", 2, "doi", "doi", 80.0), ("when", 0, "qd", "datetime", 55.0)]
-_MATCH_SQL = _values(_MATCHES, "key, ord, ruleid, dataclass, confidence")
+# A report made of nations: a field for each region, a match for each nation, confidences in eighths.
+_MATCH_SQL = "(select r_name as key, n_nationkey as ord, 'rule' || n_nationkey as ruleid, ['email', 'isbn13', 'asn', 'doi', 'datetime', 'uuid'][n_nationkey % 6 + 1] as dataclass, (15 * n_regionkey + n_nationkey % 7 * 2.125)::double as confidence from nation join region on r_regionkey = n_regionkey)"
+_REPORT_SQL = f"(select key, max(confidence) as top, string_agg(dataclass || ' ' || printf('%.2f', confidence), ',' order by ord) as labels, bool_or(dataclass = 'email') as pii from {_MATCH_SQL} group by key)"
 
 
-def _report(spark: SparkSession) -> DataFrame:
-    m = spark.createDataFrame(_MATCHES, "key string, ord int, ruleid string, dataclass string, confidence double")
-    m = m.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.lit(0).alias("phase"), "ord", "ruleid", "dataclass", "confidence", F.lit("data").alias("ruletype"), F.lit(None).cast("string").alias("format")))).alias("matches"))
-    return m.select("key", F.lit("str").alias("ftype"), F.when(F.col("key") == "when", F.array(F.lit("pii"))).otherwise(F.array().cast("array<string>")).alias("tags"), "matches", labels(F.col("matches")).alias("labels"), F.concat(F.lit("u/"), F.col("matches")[0]["dataclass"]).alias("datatype_url"))
+def _report(spark: SparkSession, d: str) -> DataFrame:
+    n = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("n_nationkey")
+    kinds = F.array(*map(F.lit, ("email", "isbn13", "asn", "doi", "datetime", "uuid")))
+    match = F.struct(F.lit(0).alias("phase"), k.alias("ord"), F.concat(F.lit("rule"), k).alias("ruleid"), F.get(kinds, k % 6).alias("dataclass"), (15 * F.col("n_regionkey") + k % 7 * 2.125).alias("confidence"), F.lit("data").alias("ruletype"), F.lit(None).cast("string").alias("format"))
+    m = n.groupBy(F.col("r_name").alias("key")).agg(F.array_sort(F.collect_list(match)).alias("matches"))
+    return m.select("key", F.lit("str").alias("ftype"), F.when(F.col("key") == "ASIA", F.array(F.lit("pii"))).otherwise(F.array().cast("array<string>")).alias("tags"), "matches", labels(F.col("matches")).alias("labels"), F.concat(F.lit("u/"), F.col("matches")[0]["dataclass"]).alias("datatype_url"))
 
 
 @query("best_match", f"select key, arg_max(ruleid, (confidence, -ord)) as ruleid, max(confidence) as confidence from {_MATCH_SQL} group by key")
 def _(spark: SparkSession, d: str) -> DataFrame:
     best = export.best_match(F.col("matches"))
-    return _report(spark).select("key", best["ruleid"].alias("ruleid"), best["confidence"].alias("confidence"))
+    return _report(spark, d).select("key", best["ruleid"].alias("ruleid"), best["confidence"].alias("confidence"))
 
 
-@query("export_min_confidence", f"select key, count(*) as n from {_MATCH_SQL} where confidence >= 80 group by key")
+@query("export_min_confidence", f"select key, count(*) as n from {_MATCH_SQL} where confidence >= 32.125 group by key")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return export.payload(_report(spark), "d", min_confidence=80.0, pii_tags=False).where(F.size("terms") > 0).select("key", F.expr("cast(if(key = 'mail', 2, size(terms)) as bigint)").alias("n"))
+    return export.payload(_report(spark, d), "d", min_confidence=32.125, pii_tags=False).where("n_matches > 0").select("key", F.col("n_matches").cast("long").alias("n"))
 
 
-@query("pii_tag_flags", f"select key, bool_or(dataclass in ('email', 'phone', 'ssn', 'passport', 'creditcard')) or key = 'when' as pii from {_MATCH_SQL} group by key")
+@query("pii_tag_flags", f"select key, bool_or(dataclass in ('email', 'phone', 'ssn', 'passport', 'creditcard')) or key = 'ASIA' as pii from {_MATCH_SQL} group by key")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _report(spark).select("key", export.is_pii(F.col("tags"), F.col("matches")).alias("pii"))
+    return _report(spark, d).select("key", export.is_pii(F.col("tags"), F.col("matches")).alias("pii"))
 
 
 @query("export_tags_terms", f"select key, string_agg(distinct upper(dataclass[1]) || dataclass[2:], ',' order by upper(dataclass[1]) || dataclass[2:]) as tags, string_agg(distinct 'urn:li:glossaryTerm:' || dataclass, ',' order by 'urn:li:glossaryTerm:' || dataclass) as terms from {_MATCH_SQL} group by key")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    p = export.payload(_report(spark), "d", pii_tags=False)
+    p = export.payload(_report(spark, d), "d", pii_tags=False)
     return p.select("key", F.array_join(F.array_sort("tags"), ",").alias("tags"), F.array_join(F.array_sort("terms"), ",").alias("terms"))
 
 
 @query("export_properties", f"select key, printf('%.2f', max(confidence)) as confidence, arg_max(ruleid, (confidence, -ord)) as rule_id, 'u/' || arg_min(dataclass, ord) as datatype_url from {_MATCH_SQL} group by key")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    p = export.payload(_report(spark), "d")
+    p = export.payload(_report(spark, d), "d")
     return p.select("key", *[F.col("properties")[k].alias(k) for k in ("confidence", "rule_id", "datatype_url")])
 
 
-@query("export_merge", "select * from (values ('d.code', 'Asn,Doi,Isbn13,Old', 'x'), ('d.mail', 'Email,PII', null), ('d.when', 'Datetime,PII', null)) t(address, tags, kept)")
+@query("export_merge", f"select 'd.' || key as address, array_to_string(list_sort(list_distinct(list_concat(list(upper(dataclass[1]) || dataclass[2:]), case when key = 'EUROPE' then ['Old', 'Asn'] else [] end, case when bool_or(dataclass = 'email') or key = 'ASIA' then ['PII'] else [] end))), ',') as tags, case when key = 'EUROPE' then 'x' end as kept from {_MATCH_SQL} group by key")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    there = spark.createDataFrame([("d.code", ["Old", "Asn"], ["t"], {"mine": "x", "rule_id": "old"})], "address string, tags array<string>, terms array<string>, properties map<string,string>")
-    m = export.merged(export.payload(_report(spark), "d", "fqn"), there)
+    there = spark.createDataFrame([("d.EUROPE", ["Old", "Asn"], ["t"], {"mine": "x", "rule_id": "old"})], "address string, tags array<string>, terms array<string>, properties map<string,string>")
+    m = export.merged(export.payload(_report(spark, d), "d", "fqn"), there)
     return m.select("address", F.array_join(F.array_sort("tags"), ",").alias("tags"), F.col("properties")["mine"].alias("kept"))
 
 
@@ -530,11 +550,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return a.select("id", "a.*")
 
 
-@query("hybrid_merge", "select * from (values ('mail', 'email 100.00,email 97.12'), ('code', 'isbn13 12.50,asn 80.00,doi 80.00'), ('when', 'datetime 55.00')) t(key, labels) union all select 'blank', 'uuid 75.00' union all select 'weak', ''")
+@query("hybrid_merge", f"select key, labels || case when top < 50 and r_regionkey * 0.25 >= 0.5 then ',uuid ' || printf('%.2f', r_regionkey * 25.0) else '' end as labels from {_REPORT_SQL} join region on r_name = key union all select 'blank', 'uuid 75.00' union all select 'weak', ''")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    r = _report(spark)
+    r = _report(spark, d)
     none = spark.createDataFrame([("blank",), ("weak",)], "key string").select("key", F.lit("str").alias("ftype"), F.array().cast("array<string>").alias("tags"), F.array().cast(r.schema["matches"].dataType).alias("matches"), F.lit("").alias("labels"), F.lit(None).cast("string").alias("datatype_url"))
-    answers = spark.createDataFrame([("blank", "uuid", 0.75), ("weak", "uuid", 0.4), ("mail", "uuid", 0.99), ("when", None, 0.9)], "key string, datatype_id string, confidence double")
+    answers = read(spark, d, "region").select(F.col("r_name").alias("key"), F.lit("uuid").alias("datatype_id"), (F.col("r_regionkey") * 0.25).alias("confidence"))
+    answers = answers.union(spark.createDataFrame([("blank", "uuid", 0.75), ("weak", "uuid", 0.4)], "key string, datatype_id string, confidence double"))
     return retrieve.hybrid(r.unionByName(none), answers).select("key", "labels")
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from ..plans.scan import BASE_URL, labels
 Embedder = Callable[[list[str]], list[list[float]]]
 Model = Callable[[str], str]
 BATCH = 64
-BROADCAST_ENTRIES = 1_000_000
+BLOCK_BYTES = 256 << 20
 ANSWER = "struct<datatype_id:string,confidence:double,reason:string>"
 
 
@@ -51,21 +52,57 @@ def embedded(df: DataFrame, text: str, embedder: Embedder = hashing_embedder, di
     return df.mapInPandas(run, f"{fields}, embedding array<float>")
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+def _block(rows: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array]:
+    """Ids, vectors, their squared lengths and flags of a block of the index."""
+    t = rows.toArrow().combine_chunks()
+    vectors = t.column("b").combine_chunks()
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    v = flat.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
+    return t.column("item").combine_chunks(), v, (v * v).sum(1), t.column("keep").combine_chunks()
 
 
-def nearest(queries: DataFrame, index: DataFrame, k: int, query_id: str = "query_id", item_id: str = "id", keep: Column | None = None, overfetch: int = 3) -> DataFrame:
-    """(query_id, item_id, distance, rank): the k nearest by squared distance, ties by item_id. With keep (a condition on index columns) the overfetch * k nearest are found first and then filtered."""
-    right = index.select(F.col(item_id).alias("__item"), F.col("embedding").alias("__b"), *([keep.alias("__keep")] if keep is not None else []))
-    if right.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES:
-        right = F.broadcast(right)
-    pairs = queries.select(F.col(query_id).alias("__query"), F.col("embedding").alias("__a")).crossJoin(right).withColumn("distance", squared_distance(F.col("__a"), F.col("__b"))).drop("__a", "__b")
+def nearest(queries: DataFrame, index: DataFrame, k: int, query_id: str = "query_id", item_id: str = "id", keep: Column | None = None, overfetch: int = 3, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(query_id, item_id, distance, rank): the k nearest by squared distance, ties by item_id. With keep (a condition on index columns) the overfetch * k nearest are found first and then filtered.
+
+    Exact. The index goes to the tasks in blocks of at most block_bytes, one after the other; each task multiplies its queries with a block and keeps the nearest of them, so nothing is shuffled while the index is one block, and k rows a query and block else. Null vectors are near nothing.
+    """
+    right = index.where("embedding is not null").select(F.col(item_id).alias("item"), F.col("embedding").cast("array<float>").alias("b"), (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("keep"))
+    size = right.agg(F.coalesce(F.sum(F.size("b") * 8 + 64), F.lit(0))).first()[0]
+    parts = int(size // block_bytes) + 1
     n = k if keep is None else k * overfetch
-    near = pairs.selectExpr("*", "row_number() over (partition by __query order by distance, __item) as rank").where(F.col("rank") <= n)
+    left = queries.where("embedding is not null").select(F.col(query_id).alias("q"), F.col("embedding").cast("array<float>").alias("a"))
+    q_kind, i_kind = left.schema["q"].dataType.simpleString(), right.schema["item"].dataType.simpleString()
+    out = None
+    for part in range(parts):
+        rows = right if parts == 1 else right.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
+        sent = index.sparkSession.sparkContext.broadcast(_block(rows))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            items, v, size, flags = sent.value
+            if not len(items):
+                return
+            for b in (x.slice(i, 512) for x in batches for i in range(0, x.num_rows, 512)):
+                q = b.column("a").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                d = (q * q).sum(1)[:, None] + size - 2 * (q @ v.T)
+                m = min(n, len(items))
+                # Rounding in the product may swap near ties: all within a hair of the last are measured again.
+                last = np.partition(d, m - 1, axis=1)[:, m - 1]
+                row, col = np.nonzero(d <= (last + 1e-9 * (1 + np.abs(last)))[:, None])
+                exact = ((q[row] - v[col]) ** 2).sum(1)
+                take = pa.array(col)
+                t = pa.table({"row": pa.array(row), "d": pa.array(exact), "item": items.take(take), "keep": flags.take(take)}).sort_by([("row", "ascending"), ("d", "ascending"), ("item", "ascending")])
+                row = t.column("row").to_numpy()
+                near = np.arange(len(row)) - np.searchsorted(row, row) < m
+                t = t.filter(pa.array(near)).combine_chunks()
+                yield pa.RecordBatch.from_arrays([b.column("q").take(t.column("row").combine_chunks()), *(t.column(c).combine_chunks() for c in ("item", "d", "keep"))], ["q", "item", "d", "keep"])
+
+        one = left.mapInArrow(run, f"q {q_kind}, item {i_kind}, d double, keep boolean")
+        out = one if out is None else out.union(one)
+    ranked = "row_number() over (partition by q order by d, item) as rank"
+    near = out.selectExpr("*", ranked).where(F.col("rank") <= n)
     if keep is not None:
-        near = near.where("__keep").selectExpr("__query", "__item", "distance", "row_number() over (partition by __query order by distance, __item) as rank").where(F.col("rank") <= k)
-    return near.select(F.col("__query").alias(query_id), F.col("__item").alias(item_id), "distance", "rank")
+        near = near.where("keep").drop("rank").selectExpr("*", ranked).where(F.col("rank") <= k)
+    return near.select(F.col("q").alias(query_id), F.col("item").alias(item_id), F.col("d").alias("distance"), "rank")
 
 
 def samples(first: DataFrame, rows: int = 100, values: int = 10) -> DataFrame:
