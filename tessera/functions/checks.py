@@ -12,7 +12,29 @@ DOMAIN = rf"^(?:{LABEL}\.)+[A-Za-z](?:[A-Za-z0-9-]{{0,61}}[A-Za-z0-9])?$"
 URL = rf"^(?:https?|ftps?|sftp|ssh|git|rtsp)://(?:[^\s:@/?#]+(?::[^\s:@/?#]*)?@)?(?:localhost|\d{{1,3}}(?:\.\d{{1,3}}){{3}}|\[[0-9A-Fa-f:.]+\]|(?:{LABEL}\.)+[A-Za-z](?:[A-Za-z0-9-]{{0,61}}[A-Za-z0-9])?)(?::\d{{1,5}})?(?:[/?#]\S*)?$"
 EMAIL = rf"^[A-Za-z0-9._%+-]+@(?:{LABEL}\.)+[A-Za-z]{{2,}}$"
 
-CHECKS: dict[str, Callable[[Column], Column]] = {"domain": lambda v: v.rlike(DOMAIN), "url": lambda v: v.rlike(URL), "email": lambda v: v.rlike(EMAIL)}
+LANGUAGE = r"^(?i)(?:[a-z]{2,3}(?:-[a-z]{3}){0,3}|[a-z]{4}|[a-z]{5,8})(?:-[a-z]{4})?(?:-(?:[a-z]{2}|\d{3}))?(?:-(?:[a-z0-9]{5,8}|\d[a-z0-9]{3}))*(?:-[0-9a-wy-z](?:-[a-z0-9]{2,8})+)*(?:-x(?:-[a-z0-9]{1,8})+)?$"
+
+
+def asn(v: Column) -> Column:
+    """A number of an autonomous system that may be announced: of 32 bits, not reserved (RFC 7607, 7300, 5398, 6996)."""
+    n = F.regexp_replace(F.trim(v), "^(?i)AS", "").try_cast("bigint")
+    kept = n.between(1, 23455) | n.between(23457, 64495) | n.between(131072, 4199999999)
+    return F.coalesce(kept, F.lit(False))
+
+
+CHECKS: dict[str, Callable[[Column], Column]] = {"domain": lambda v: v.rlike(DOMAIN), "url": lambda v: v.rlike(URL), "email": lambda v: v.rlike(EMAIL), "validate_asn": asn, "validate_language_tag": lambda v: v.rlike(LANGUAGE)}
+#: Functions of names that rules may call; where a check of columns has no such twin, it is put to the name by Spark.
+NAME_CHECKS: dict[str, Callable[[str], bool]] = {}
+
+
+def holds(name: str, text: str) -> bool:
+    """Whether a check holds for one text, such as a field's name."""
+    if name in NAME_CHECKS:
+        return bool(NAME_CHECKS[name](text))
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    return bool(spark.range(1).select(F.coalesce(CHECKS[name](F.lit(text)), F.lit(False))).first()[0])
 
 _M = "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 _RU = "(?:января|февраля|марта|апреля|мая|июня|июля|августа|сентября|октября|ноября|декабря)"

@@ -138,15 +138,21 @@ def first_places(df: DataFrame, h: DataFrame, stats: DataFrame, fields: list[str
     return cells.join(few.select("field", "text"), ["field", "text"], "left_semi").groupBy("field", "text").agg(F.min("pos").alias("p"))
 
 
-def profile(df: DataFrame, order_by: list[str] | None = None, fields: list[str] | None = None, dict_share: float = DICT_SHARE, empty_values: tuple[str, ...] = EMPTY_VALUES, values: bool = True) -> DataFrame:
-    if not is_flat(df.schema) or "__place" in df.columns:
-        return field_stats(histogram(flatten(df, order_by, fields)), dict_share, empty_values, values=values)
-    rows = field_stats(typed_histogram(df, order_by, fields), dict_share, empty_values, unique=True, values=False).toArrow()  # a row a field
+def parts(df: DataFrame, order_by: list[str] | None = None, fields: list[str] | None = None, dict_share: float = DICT_SHARE, empty_values: tuple[str, ...] = EMPTY_VALUES) -> tuple[DataFrame, DataFrame]:
+    """Statistics without dictvalues, computed, a row a field; and (key, dictvalues), still to be computed."""
+    flat = is_flat(df.schema) and "__place" not in df.columns
+    h = typed_histogram(df, order_by, fields) if flat else histogram(flatten(df, order_by, fields))
+    rows = field_stats(h, dict_share, empty_values, unique=flat, values=False).toArrow()  # a row a field
     stats = df.sparkSession.createDataFrame(rows)
-    few = [k for k, is_key in zip(rows.column("key").to_pylist(), rows.column("is_dictkey").to_pylist()) if is_key]
-    if not values:
-        return stats
+    if not flat:
+        return stats, listed(dictionary(h, stats))
     # The values of dictionaries are looked up in those columns only.
+    few = [k for k, is_key in zip(rows.column("key").to_pylist(), rows.column("is_dictkey").to_pylist()) if is_key]
     h = typed_histogram(df, order_by, few)
     places = None if not few or place(df, order_by)[1] else first_places(df, h, stats, few, order_by)
-    return stats.join(listed(dictionary(h, stats, places)), "key", "left")
+    return stats, listed(dictionary(h, stats, places))
+
+
+def profile(df: DataFrame, order_by: list[str] | None = None, fields: list[str] | None = None, dict_share: float = DICT_SHARE, empty_values: tuple[str, ...] = EMPTY_VALUES) -> DataFrame:
+    stats, words = parts(df, order_by, fields, dict_share, empty_values)
+    return stats.join(words, "key", "left")

@@ -12,20 +12,27 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checks
 from ..functions.pystr import confidence_text
-from ..operators.flatten import first_values, flatten, headers, is_flat
-from ..operators.profile import DICT_SHARE, EMPTY_VALUES, field_stats, histogram
+from ..operators.flatten import HIDDEN, first_values, flatten, headers, is_flat
+from ..operators.profile import DICT_SHARE, EMPTY_VALUES, parts
 from .rules import Rule, applicable, catalog
 
+if TYPE_CHECKING:
+    from ..rag.classifier import Classifier
+
 BASE_URL = "https://registry.example.org/datatype/{}"
 CONFIDENCE = 5.0
 LIMIT = 1000
 TYPED = {"bool": ("_int_fieldtype_boolean", "boolean"), "datetime": ("_int_fieldtype_datetime", "datetime"), "date": ("_int_fieldtype_date", "date")}
+LLM_LEAST = 50.0
+MODES = ("rules", "llm", "hybrid")
+FOUND = "field string, phase int, ord int, ruleid string, dataclass string, confidence double, ruletype string, format string"
 MATCH = "array<struct<phase:int,ord:int,ruleid:string,dataclass:string,confidence:double,ruletype:string,format:string>>"
 
 
@@ -51,6 +58,8 @@ def names_match(r: Rule, f: Field) -> bool:
     """Whether a name rule matches the field's short name or its whole path."""
     if r.match == "text":
         return bool({f.short.lower(), f.name.lower()} & r.keywords)
+    if r.match == "func":
+        return any(checks.holds(r.func, n) for n in (f.short, f.name))
     return any(java(r.regex).search(n) for n in (f.short, f.name)) if r.regex else False
 
 
@@ -93,9 +102,8 @@ def value_matches(h: DataFrame, fields: list[Field], rules: list[Rule], confiden
     open_fields = [f for f in fields if f.ftype not in TYPED and f.ftype != "float"]
     pairs = [(r, [f.name for f in open_fields if lengths_meet(r, f) and gate_open(r, f)]) for r in rules]
     pairs = [(r, names) for r, names in pairs if names]
-    schema = "field string, phase int, ord int, ruleid string, dataclass string, confidence double, ruletype string, format string"
     if not pairs:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], FOUND)
     v, n = F.col("value"), F.col("cnt")
     full = v.isNotNull() & (v != "")
     h = h.where(F.col("field").isin(*{x for _, names in pairs for x in names}))
@@ -135,16 +143,33 @@ def scan(
     order_by: list[str] | None = None,
     strict: bool = True,
     base_url: str = BASE_URL,
+    mode: str = "rules",
+    classifier: Classifier | None = None,
+    llm_least: float = LLM_LEAST,
 ) -> DataFrame:
-    """One row a field: its statistics and, unless stats_only, matches (a list), labels (their text) and datatype_url (of the first)."""
-    long = flatten(df, order_by)
-    stats = field_stats(histogram(long), dict_share, empty_values)
+    """One row a field: its statistics and, unless stats_only, matches (a list), labels (their text) and datatype_url (of the first).
+
+    mode: rules; llm, all fields by the classifier alone, fields left aside (without a classifier the rules are used); hybrid, the
+    classifier for fields whose best match is under llm_least.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}, not {mode!r}")
+    own, words = parts(df, order_by, None, dict_share, empty_values)
     if stats_only:
-        return stats
+        return own.join(words, "key", "left")
     spark = df.sparkSession
     used = catalog(rules, strict=strict)
-    own = spark.createDataFrame(stats.toArrow())  # a row a field
-    seen = [(r.field, r.ord) for r in headers(flatten(df.orderBy(*order_by).limit(1000) if order_by else df.limit(1000), order_by), None).collect()]
+    head = df.orderBy(*order_by).limit(1000) if order_by else df.limit(1000)
+    if is_flat(df.schema):
+        names = [f.name for f in df.schema if f.name != HIDDEN] if not head.isEmpty() else []  # a flat table has all fields in its first record
+        seen = [(n, k) for k, n in enumerate(sorted(names), 1)]
+    else:
+        seen = [(r.field, r.ord) for r in headers(flatten(head, order_by), None).collect()]
+    if mode == "llm" and classifier is not None:
+        none = spark.createDataFrame([], FOUND)
+        order = spark.createDataFrame(seen, "key string, ord int")
+        out = report(own.join(words, "key", "left"), none, base_url).join(order, "key").orderBy("ord").drop("ord")
+        return by_model(out, head, order_by, classifier, langs, contexts, -1.0, base_url)
     if fields:
         unknown = set(fields) - {n for n, _ in seen}
         if unknown:
@@ -155,16 +180,31 @@ def scan(
     if is_flat(df.schema):
         first = flatten(df.orderBy(*order_by).limit(limit) if order_by else df.limit(limit), order_by)
     else:
-        first = first_values(long, limit)
+        first = first_values(flatten(df, order_by), limit)
     h = first.groupBy("field", "value", "is_str").agg(F.count("*").alias("cnt"), F.max("pos").alias("last_pos"))
-    named = spark.createDataFrame(field_matches(targets, applicable(used, "field", contexts, langs, ignore_imprecise), stop_on_match), "field string, phase int, ord int, ruleid string, dataclass string, confidence double, ruletype string, format string")
+    named = spark.createDataFrame(field_matches(targets, applicable(used, "field", contexts, langs, ignore_imprecise), stop_on_match), FOUND)
     found = named.unionByName(value_matches(h, targets, applicable(used, "data", contexts, langs, ignore_imprecise), confidence, except_empty, stop_on_match))
     if parse_dates:
         texts = [f.name for f in targets if f.ftype in ("str", None)]
         open_ = h.where(F.col("field").isin(*texts)) if texts else h.limit(0)
         found = found.unionByName(date_matches(open_.join(found.select("field").distinct(), "field", "left_anti"), confidence, except_empty))
     order = spark.createDataFrame([(n, k) for k, (n, _) in enumerate(seen)], "key string, ord int")
-    return report(own, found, base_url).join(order, "key").orderBy("ord").drop("ord")
+    out = report(own.join(words, "key", "left"), found, base_url).join(order, "key").orderBy("ord").drop("ord")
+    return by_model(out, head, order_by, classifier, langs, contexts, llm_least, base_url) if mode == "hybrid" and classifier is not None else out
+
+
+def by_model(out: DataFrame, head: DataFrame, order_by: list[str] | None, classifier: Classifier, langs: Iterable[str] | None, contexts: Iterable[str] | None, least: float, base_url: str) -> DataFrame:
+    """A report with the classifier's answers for the fields whose best match is under least (all for a negative one). Samples are the first ten values with anything in them of the first 100 records, of top-level fields."""
+    from ..rag import retrieve
+
+    first = head.orderBy(*order_by).limit(100) if order_by else head.limit(100)
+    best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["confidence"])), F.lit(-1.0))
+    open_ = out.where(best < least) if least >= 0 else out
+    asks = open_.select(F.col("key").alias("field")).join(retrieve.samples(flatten(first, order_by)), "field", "left")
+    answers = classifier.classify(asks, langs=langs, categories=contexts)
+    if least < 0:
+        answers = answers.where("datatype_id is not null and confidence > 0")
+    return retrieve.hybrid(out, answers, least, base_url)
 
 
 def report(stats: DataFrame, found: DataFrame, base_url: str = BASE_URL) -> DataFrame:

@@ -7,6 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import RemoteError
+from ..http import Transport, call, over_network
+
 SCHEMA = "id string, name string, doc string, langs array<string>, categories array<string>, country array<string>, examples array<struct<value:string>>, regexp string, classification string"
 
 
@@ -40,3 +43,39 @@ def datatype_dictionary(rules: DataFrame) -> DataFrame:
     """(key, contexts, langs, n_rules): what the rules of each datatype cover together."""
     return rules.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("context")))).alias("contexts"), F.array_sort(F.collect_set("lang")).alias("langs"), F.count("*").alias("n_rules"))
 
+
+class RegistryClient:
+    """A registry of datatypes over HTTP: registry.json holds all of them by id, datatype/<id>.json one. Once loaded, all is answered from memory."""
+
+    def __init__(self, root: str, preload: bool = False, timeout: float = 30.0, transport: Transport = over_network):
+        self.root, self.timeout, self.transport = root.rstrip("/"), timeout, transport
+        self.loaded: dict | None = None
+        if preload:
+            self.preload()
+
+    def _ask(self, path: str) -> tuple[int, object]:
+        return call("GET", f"{self.root}/{path}", timeout=self.timeout, transport=self.transport)
+
+    def preload(self) -> None:
+        status, found = self._ask("registry.json")
+        if status >= 400 or not isinstance(found, dict):
+            raise RemoteError(f"{self.root}: no registry ({status})")
+        self.loaded = found
+
+    def ids(self) -> list[str]:
+        if self.loaded is None:
+            self.preload()
+        return list(self.loaded)
+
+    def has(self, ident: str) -> bool:
+        if self.loaded is not None:
+            return ident in self.loaded
+        return self._ask(f"datatype/{ident}.json")[0] == 200
+
+    def get(self, ident: str) -> dict:
+        if self.loaded is not None:
+            return self.loaded[ident]
+        status, found = self._ask(f"datatype/{ident}.json")
+        if status >= 400 or not isinstance(found, dict):
+            raise KeyError(ident)
+        return found

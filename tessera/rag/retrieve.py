@@ -152,10 +152,10 @@ def answer(response: Column) -> Column:
 
 
 def hybrid(report: DataFrame, answers: DataFrame, least: float = 50.0, base_url: str = BASE_URL) -> DataFrame:
-    """A report in which fields whose best match is under least get the model's answer, if that reaches it. answers: (key, datatype_id, confidence of 0 to 1)."""
+    """A report in which fields whose best match is under least get the model's answer, if that reaches it; with a negative least all fields get it. answers: (key, datatype_id, confidence of 0 to 1)."""
     best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["confidence"])), F.lit(-1.0))
     new = F.struct(F.lit(4).alias("phase"), F.lit(0).alias("ord"), F.lit("llm_classifier").alias("ruleid"), F.col("__id").alias("dataclass"), (F.col("__c") * 100.0).alias("confidence"), F.lit("llm").alias("ruletype"), F.lit(None).cast("string").alias("format"))
     a = answers.select(F.col("key").alias("__key"), F.col("datatype_id").alias("__id"), F.col("confidence").alias("__c"))
-    add = (best < least) & F.col("__id").isNotNull() & (F.col("__c") * 100.0 >= least)
+    add = ((best < least) if least >= 0 else F.lit(True)) & F.col("__id").isNotNull() & (F.col("__c") * 100.0 >= least)
     out = report.join(a, F.col("key") == F.col("__key"), "left").withColumn("matches", F.when(add, F.array_append("matches", new)).otherwise(F.col("matches"))).drop("__key", "__id", "__c")
     return out.withColumn("labels", labels(F.col("matches"))).withColumn("datatype_url", F.when(F.size("matches") > 0, F.replace(F.lit(base_url), F.lit("{}"), F.col("matches")[0]["dataclass"])))
