@@ -2,6 +2,9 @@
 
     python -m tessera.cli scan file data.csv --confidence 95
     python -m tessera.cli rules stats
+    python -m tessera.cli server run --port 10399
+
+Settings of a .tessera file (see config) stand for options that aren't given.
 """
 
 from __future__ import annotations
@@ -12,9 +15,13 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import config
+from .errors import ConfigError
 from .operators.profile import EMPTY_VALUES
-from .plans import export, rules
-from .plans.scan import MATCH, scan, scan_all
+from .plans import emit, export, rules
+from .plans.scan import MATCH, MODES, scan, scan_all
+from .rag import providers, registry
+from .rag.classifier import Classifier, VectorIndex
 from .sources import readers, sinks
 
 
@@ -31,13 +38,23 @@ def empty_values(text: str | None) -> tuple[str, ...]:
     return tuple(forms.get(w.strip().lower(), w.strip()) for w in text.split(","))
 
 
+def _classifier(spark: SparkSession, a: argparse.Namespace) -> Classifier | None:
+    if a.mode == "rules":
+        return None
+    if not a.llm_provider or not a.llm_index:
+        raise ConfigError("modes llm and hybrid need --llm-provider and --llm-index")
+    model = providers.get_provider(a.llm_provider, a.llm_model, a.llm_api_key, a.llm_base_url)
+    entries = registry.load(spark, a.llm_registry) if a.llm_registry else None
+    return Classifier(model, VectorIndex(spark, a.llm_index), entries)
+
+
 def _options(a: argparse.Namespace) -> dict:
     if a.confidence is not None and not 0 <= a.confidence <= 100:
         raise SystemExit("--confidence lies between 0 and 100")
     own = rules.load(a.rulepath.split(","), strict=not a.lenient) if a.rulepath else None
     chosen = rules.catalog(own, countries=a.country_codes, strict=not a.lenient) if own or a.country_codes else None
     more = {} if a.confidence is None else {"confidence": a.confidence}
-    return more | {"rules": chosen, "limit": a.limit, "contexts": words(a.contexts), "langs": words(a.langs), "stop_on_match": a.stop_on_match, "parse_dates": not a.no_dates, "ignore_imprecise": not a.include_imprecise, "except_empty": not a.include_empty, "fields": a.fields.split(",") if a.fields else None, "stats_only": a.stats_only, "dict_share": a.dict_share, "empty_values": empty_values(a.empty_values), "strict": not a.lenient}
+    return more | {"rules": chosen, "limit": a.limit, "contexts": words(a.contexts), "langs": words(a.langs), "stop_on_match": a.stop_on_match, "parse_dates": not a.no_dates, "ignore_imprecise": not a.include_imprecise, "except_empty": not a.include_empty, "fields": a.fields.split(",") if a.fields else None, "stats_only": a.stats_only, "dict_share": a.dict_share, "empty_values": empty_values(a.empty_values), "strict": not a.lenient, "mode": a.mode, "llm_least": a.llm_min_confidence}
 
 
 def _show(report: DataFrame, a: argparse.Namespace) -> None:
@@ -48,11 +65,18 @@ def _show(report: DataFrame, a: argparse.Namespace) -> None:
     sinks.emit(sinks.document(report, a.output_format, a.pretty, a.indent), None if a.stdout else a.output)
 
 
-def _scan(spark: SparkSession, a: argparse.Namespace) -> None:
-    o = _options(a)
-    if a.what == "file":
-        df = readers.read_file(spark, a.source, None, a.delimiter, a.encoding, a.tagname, None if a.compression == "auto" else a.compression)
-        return _show(scan(df, **o), a)
+def _remote(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The first records of a file, scanned by a server."""
+    from .server import scan_remotely
+
+    df = readers.read_file(spark, a.source, None, a.delimiter, a.encoding, a.tagname, None if a.compression == "auto" else a.compression)
+    items = [json.loads(r) for r in df.limit(a.limit).toJSON().collect()]  # limit records, as they are sent
+    query = {k: v for k, v in (("format", a.format), ("langs", a.langs), ("contexts", a.contexts), ("limit", str(a.limit))) if v}
+    got = scan_remotely(a.remote, items, a.retries, a.retry_delay, a.timeout, **query)
+    sinks.emit(json.dumps(got, ensure_ascii=False, indent=a.indent if a.pretty else None), None if a.stdout else a.output)
+
+
+def _tables(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
     if a.what == "bulk":
         tables = {}
         for path in readers.list_files(spark, a.source):
@@ -60,15 +84,46 @@ def _scan(spark: SparkSession, a: argparse.Namespace) -> None:
                 tables[path] = readers.read_file(spark, path, None, a.delimiter, a.encoding, a.tagname)
             except Exception as e:  # noqa: BLE001 - one file that can't be read doesn't stop the others
                 print(f"{path}: {e}")
+        return tables
+    if a.what == "sql" and a.source.startswith(("duckdb:///", "sqlite:///")):
+        return {t: readers.read_embedded(spark, a.source, t, a.limit, a.schema, a.batch_size) for t in readers.embedded_tables(a.source, a.schema)}
+    if a.what == "sql":
+        return {t: readers.read_table(spark, a.source, t, a.limit, a.batch_size) for t in readers.database_tables(spark, a.source, a.schema)}
+    uri = readers.mongo_uri(a.source, a.port, a.user, a.password)
+    names = a.collections.split(",") if a.collections else readers.mongo_collections(spark, uri, a.database)
+    return {c: readers.read_mongo(spark, uri, a.database, c, a.limit) for c in names}
+
+
+def _scan(spark: SparkSession, a: argparse.Namespace) -> None:
+    if a.remote:
+        return _remote(spark, a)
+    o = _options(a) | {"classifier": _classifier(spark, a)}
+    if a.what == "file":
+        df = readers.read_file(spark, a.source, None, a.delimiter, a.encoding, a.tagname, None if a.compression == "auto" else a.compression)
+        return _show(scan(df, **o), a)
+    if a.what == "bulk":
         a.format = "full"
-    elif a.what == "sql":
-        tables = {t: readers.read_table(spark, a.source, t, a.limit, a.batch_size) for t in readers.database_tables(spark, a.source, a.schema)}
-    else:
-        tables = {c: readers.read_mongo(spark, a.source, a.database, c, a.limit) for c in a.collections.split(",")}
-    if tables:
+    if tables := _tables(spark, a):
         _show(scan_all(tables, **o), a)
 
 
+def _server(spark: SparkSession, a: argparse.Namespace) -> None:
+    from .server import server
+
+    print(f"http://{a.host}:{a.port}")
+    server(spark, a.host, a.port).serve_forever()
+
+
+def _index(spark: SparkSession, a: argparse.Namespace) -> None:
+    index = VectorIndex(spark, a.source)
+    if a.what == "build":
+        index.clear()
+        index.add(registry.load(spark, a.registry))
+    elif a.what == "clear":
+        index.clear()
+    sinks.emit(str(index.count()))
+
+
 def _rules(spark: SparkSession, a: argparse.Namespace) -> None:
     own = rules.load(a.rulepath.split(",")) if a.rulepath else None
     r = rules.frame(spark, rules.catalog(own, countries=a.country_codes))
@@ -89,8 +144,12 @@ def _export(spark: SparkSession, a: argparse.Namespace) -> None:
         rows = rows.get("data") or rows.get("fields") or []
     schema = f"key string, ftype string, tags array<string>, matches {MATCH}, labels string, datatype_url string"
     report = spark.createDataFrame([tuple(r.get(k) or ([] if k in ("tags", "matches") else None) for k in "key ftype tags matches labels datatype_url".split()) for r in rows], schema)
-    target = {"datahub": "urn", "openmetadata": "fqn", "atlas": "qualified"}[a.what]
-    sinks.emit(sinks.document(export.payload(report, a.dataset, target, a.min_confidence), "json", True), a.output)
+    make, target = emit.TARGETS[a.what]
+    rows = export.payload(report, a.dataset, target, a.min_confidence, pii_tags=not a.no_pii_tags, datatype_tags=not a.no_datatype_tags, terms=not a.no_terms, properties=not a.no_properties)
+    if a.url and not a.dry_run:
+        headers = emit.basic(a.user, a.password or "") if a.user else emit.bearer(a.token)
+        return sinks.emit(json.dumps(emit.send(rows, make(a.url, headers, a.replace, a.timeout))), a.output)
+    sinks.emit(sinks.document(rows, "json", True), a.output)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -99,8 +158,14 @@ def parser() -> argparse.ArgumentParser:
     s = top.add_parser("scan")
     s.add_argument("what", choices=("file", "bulk", "sql", "mongodb"))
     s.add_argument("source")
-    for name, default in (("delimiter", None), ("encoding", None), ("tagname", None), ("contexts", None), ("langs", None), ("fields", None), ("rulepath", None), ("country-codes", None), ("empty-values", None), ("schema", None), ("database", None), ("collections", ""), ("output", None), ("compression", "auto")):
+    for name, default in (("delimiter", None), ("encoding", None), ("tagname", None), ("contexts", None), ("langs", None), ("fields", None), ("rulepath", None), ("country-codes", None), ("empty-values", None), ("schema", None), ("database", None), ("collections", ""), ("output", None), ("compression", "auto"), ("remote", None), ("user", None), ("password", None), ("llm-provider", None), ("llm-model", None), ("llm-api-key", None), ("llm-base-url", None), ("llm-index", None), ("llm-registry", None)):
         s.add_argument(f"--{name}", default=default)
+    s.add_argument("--mode", default="rules", choices=MODES)
+    s.add_argument("--llm-min-confidence", type=float, default=50.0)
+    s.add_argument("--port", type=int, default=27017)
+    s.add_argument("--retries", type=int, default=0)
+    s.add_argument("--retry-delay", type=float, default=1.0)
+    s.add_argument("--timeout", type=float)
     s.add_argument("--limit", type=int, default=1000)
     s.add_argument("--batch-size", type=int, default=1000)
     s.add_argument("--confidence", type=float)
@@ -121,13 +186,37 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("source")
     e.add_argument("dataset")
     e.add_argument("--min-confidence", type=float, default=0.0)
-    e.add_argument("--output")
+    for name in ("output", "url", "token", "user", "password"):
+        e.add_argument(f"--{name}")
+    e.add_argument("--timeout", type=float, default=30.0)
+    for flag in ("replace", "dry-run", "no-pii-tags", "no-datatype-tags", "no-terms", "no-properties"):
+        e.add_argument(f"--{flag}", action="store_true")
     e.set_defaults(run=_export)
+    v = top.add_parser("server")
+    v.add_argument("what", choices=("run",))
+    v.add_argument("--host", default="127.0.0.1")
+    v.add_argument("--port", type=int, default=10399)
+    v.set_defaults(run=_server)
+    i = top.add_parser("index")
+    i.add_argument("what", choices=("build", "count", "clear"))
+    i.add_argument("source")
+    i.add_argument("--registry")
+    i.set_defaults(run=_index)
     return p
 
 
+def settled(argv: list[str] | None, found: dict) -> argparse.Namespace:
+    """The options of a command line; settings found in a file stand for those that aren't given, of whatever command has them."""
+    p = parser()
+    plain = {k.replace("-", "_"): ",".join(map(str, v)) if isinstance(v, list) else v for k, v in found.items()}
+    for sub in p._subparsers._group_actions[0].choices.values():
+        known = {x.dest for x in sub._actions}
+        sub.set_defaults(**{k: v for k, v in plain.items() if k in known})
+    return p.parse_args(argv)
+
+
 def main(argv: list[str] | None = None) -> None:
-    a = parser().parse_args(argv)
+    a = settled(argv, config.load())
     a.run(SparkSession.builder.appName("tessera").getOrCreate(), a)
 
 

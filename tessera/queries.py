@@ -226,7 +226,7 @@ def _listing() -> list[tuple]:
 
 _RULES = rules.catalog()
 _LISTED = _values([(k, *r) for k, r in enumerate(_listing())], "place, id, key, type, match, lang, context, country, imprecise, minlen, maxlen")
-_CATALOG = f"(select *, row_number() over (order by place) - 1 as ord from {_LISTED} qualify row_number() over (partition by id order by place) = 1)"
+_CATALOG = f"(select *, row_number() over (order by place) - 1 as ord from (select * from {_LISTED} qualify row_number() over (partition by id order by place) = 1))"
 
 
 @query("rules_list", f"select id, key, type, match, lang, array_to_string(context, '.') as context, minlen, maxlen, imprecise from {_CATALOG}")

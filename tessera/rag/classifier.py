@@ -64,7 +64,7 @@ class VectorIndex:
         for name, wanted in (("country", country), ("langs", langs), ("categories", categories)):
             first = next(iter([wanted] if isinstance(wanted, str) else wanted or ()), None)
             if first is not None:
-                one = F.coalesce(F.exists(name, lambda x, w=first.lower(): F.lower(x) == w), F.lit(False))
+                one = F.coalesce(F.array_contains(F.transform(name, F.lower), first.lower()), F.lit(False))
                 keep = one if keep is None else keep & one
         return retrieve.nearest(queries, rows, k, keep=keep, overfetch=overfetch)
 

@@ -9,6 +9,7 @@ import lzma
 import zipfile
 from collections.abc import Iterator
 from pathlib import PurePosixPath
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -37,16 +38,39 @@ def is_supported(path: str) -> bool:
     return file_format(path)[0] is not None
 
 
+BOMS = ((b"\xff\xfe\0\0", "utf-32"), (b"\0\0\xfe\xff", "utf-32"), (b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+#: How often Russian letters come, in lower case; the code page under which a text's letters fit it best is taken.
+_RUSSIAN = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё"
+_CYRILLIC = ("windows-1251", "koi8-r", "cp866", "iso-8859-5")
+
+
 def encoding_of(raw: bytes) -> str:
-    """utf-8 if the bytes are that (an end cut short apart), else windows-1251 if they look Cyrillic in it, else latin-1."""
+    """By the byte order mark; by zero bytes, UTF-16; utf-8 if the bytes are that (an end cut short apart); else a Cyrillic code page if most high bytes are frequent letters in it; else windows-1252 if it has its printed signs, else latin-1."""
+    for mark, name in BOMS:
+        if raw.startswith(mark):
+            return name
+    even, odd = raw[::2].count(0), raw[1::2].count(0)
+    if len(raw) > 3 and max(even, odd) > 0.3 * len(raw) / 2:
+        return "utf-16be" if even > odd else "utf-16le"
     for cut in range(4):
         try:
             raw[: len(raw) - cut].decode("utf-8")
             return "utf-8"
         except UnicodeDecodeError:
             continue
-    high = [b for b in raw if b >= 0x80]
-    return "windows-1251" if sum(b >= 0xC0 for b in high) > 0.7 * len(high) else "iso-8859-1"
+    high = bytes(b for b in raw if b >= 0x80)
+    weight = {c: 1 / (k + 1) for k, c in enumerate(_RUSSIAN)}
+
+    def fit(name: str) -> float:
+        text = high.decode(name, "replace")
+        return sum(weight.get(c, 0.02 if c.lower() in weight else -0.5) for c in text)
+
+    best = max(_CYRILLIC, key=fit)
+    # Letters of a Cyrillic word stand together, accented ones of a Latin word mostly alone.
+    together = sum(a >= 0x80 and b >= 0x80 for a, b in zip(raw, raw[1:]))
+    if fit(best) > 0.05 * len(high) and together > 0.4 * len(high):
+        return best
+    return "windows-1252" if any(0x80 <= b < 0xA0 for b in high) else "iso-8859-1"
 
 
 def delimiter_of(line: str) -> str:
@@ -54,9 +78,34 @@ def delimiter_of(line: str) -> str:
     return max(DELIMITERS, key=line.count)
 
 
+def spans_lines(text: str, delimiter: str) -> bool:
+    """Whether a quoted cell of the CSV text holds a line feed."""
+    open_, start = False, True
+    for c in text:
+        if c == '"' and (open_ or start):
+            open_ = not open_
+        elif c == "\n" and open_:
+            return True
+        start = c in (delimiter, "\n")
+    return False
+
+
 def head(spark: SparkSession, path: str, size: int = 1_000_000) -> bytes:
-    raw = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, size).alias("c")).first()
-    return bytes(raw.c) if raw else b""
+    """The first bytes of a file, or of the first file of a folder or pattern, read through the file system's stream; the rest isn't touched."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(p)
+    files = sorted(str(f.getPath()) for f in found or ())
+    if files and fs.getFileStatus(jvm.org.apache.hadoop.fs.Path(files[0])).isDirectory():
+        files = sorted(str(f.getPath()) for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(files[0])) if not f.getPath().getName().startswith(("_", ".")))
+    if not files:
+        return b""
+    stream = fs.open(jvm.org.apache.hadoop.fs.Path(files[0]))
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)))
+    finally:
+        stream.close()
 
 
 def record_tag(xml: bytes) -> str | None:
@@ -88,18 +137,71 @@ def decompressed(raw: bytes, codec: str | None) -> bytes:
         return bz2.decompress(raw)
     if codec is None:
         return raw
+    if codec == "br":
+        try:
+            import brotli
+        except ImportError as e:
+            raise FormatError("codec br needs the package brotli") from e
+        return brotli.decompress(raw)
+    if codec == "zst":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().stream_reader(raw).read()
     raise FormatError(f"codec {codec} can't be read here")
 
 
-def _unpacked_lines(spark: SparkSession, path: str, codec: str | None, encoding: str) -> DataFrame:
-    """Lines of files in codecs or encodings that Spark doesn't read, each file in a task."""
+def decoded(spark: SparkSession, path: str, codec: str | None, encoding: str) -> DataFrame:
+    """(content): the texts of files in codecs or encodings that Spark doesn't read, each file in a task."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             for raw in p["content"]:
-                yield pd.DataFrame({"value": decompressed(raw, codec).decode(encoding, "replace").splitlines()})
+                yield pd.DataFrame({"content": [decompressed(raw, codec).decode(encoding, "replace")]})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "content string")
+
+
+def csv_records(spark: SparkSession, path: str, codec: str | None, encoding: str, delimiter: str | None, tabs: bool) -> DataFrame:
+    """CSV in codecs or encodings that Spark doesn't read: a record may span lines, and only the first one of each file names columns. Rows that are too short are filled with empty cells, more cells get names by number."""
+    import csv
+
+    texts = decoded(spark, path, codec, encoding)
+    first = texts.select(F.substring("content", 1, 100_000).alias("c")).first()
+    top = (first.c if first else "").lstrip("\ufeff")
+    sep = delimiter or ("\t" if tabs else delimiter_of(top.split("\n", 1)[0]))
+    names = column_names(next(csv.reader(io.StringIO(top), delimiter=sep), []))
+    if not names:
+        return spark.range(0).select()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(1 << 30)
+        for p in parts:
+            for text in p["content"]:
+                rows: list[list[str]] = []
+                for k, r in enumerate(csv.reader(io.StringIO(text.lstrip("\ufeff"), newline=""), delimiter=sep)):
+                    if k and r:
+                        rows.append((r + [""] * len(names))[: len(names)])
+                    if len(rows) == 10_000:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
+
+    return texts.mapInPandas(run, ", ".join("`" + n.replace("`", "``") + "` string" for n in names))
+
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "value string")
+def column_names(cells: list[str]) -> list[str]:
+    """Names of columns: one without a name is col_i by its place, a repeated one gets its place, too."""
+    out: list[str] = []
+    for k, c in enumerate(cells):
+        name = c.strip() or f"col_{k}"
+        out.append(name if name not in out else f"{name}_{k}")
+    return out
+
+
+def _unpacked_lines(spark: SparkSession, path: str, codec: str | None, encoding: str) -> DataFrame:
+    """Lines of such files."""
+    return decoded(spark, path, codec, encoding).select(F.explode(F.split("content", "\r?\n")).alias("value")).where("trim(value) <> ''")
 
 
 def json_frame(df: DataFrame, column: str) -> DataFrame:
@@ -174,26 +276,26 @@ def bson_json(raw: bytes) -> Iterator[str]:
         at += struct.unpack_from("<i", raw, at)[0]
 
 
-def read_file(spark: SparkSession, path: str, format: str | None = None, delimiter: str | None = None, encoding: str | None = None, tag: str | None = None, codec: str | None = None) -> DataFrame:
-    """A file or files of one format. Text formats keep every value a string, with empty cells empty strings; the first line names the columns."""
+def read_file(spark: SparkSession, path: str, format: str | None = None, delimiter: str | None = None, encoding: str | None = None, tag: str | None = None, codec: str | None = None, multi_line: bool | None = None) -> DataFrame:
+    """A file or files of one format. Text formats keep every value a string, with empty cells empty strings; the first line of a file names the columns.
+
+    multi_line: whether CSV cells hold line feeds. Files without such cells are split among tasks. None looks at the file's beginning.
+    """
     known, packed = file_format(path)
     format, codec = format or known, codec if codec is not None else packed
     if format in ("csv", "tsv"):
-        if not codec and (encoding is None or delimiter is None):
-            raw = head(spark, path)
-            encoding = encoding or encoding_of(raw)
-            delimiter = delimiter or ("\t" if format == "tsv" else delimiter_of(raw.decode(encoding, "replace").split("\n", 1)[0]))
-        encoding = encoding or "utf-8"
+        top = b"" if codec else head(spark, path)
+        encoding = encoding or (encoding_of(top) if top else "utf-8")
         if codec and codec not in HADOOP_CODECS or encoding.lower() not in CHARSETS:
-            # Decoded in Python, a line a record.
-            lines = _unpacked_lines(spark, path, codec, encoding)
-            first = lines.first()
-            delimiter = delimiter or ("\t" if format == "tsv" else delimiter_of(first.value if first else ""))
-            names = [c.strip('"') for c in (first.value if first else "").split(delimiter)]
-            ddl = ", ".join(f"`{c}` string" for c in names)
-            body = lines.where(F.col("value") != (first.value if first else ""))
-            return body.select(F.from_csv("value", F.lit(ddl), {"sep": delimiter}).alias("r")).select("r.*").na.fill("")
-        return spark.read.csv(path, header=True, sep=delimiter or ("\t" if format == "tsv" else ","), encoding=encoding, inferSchema=False, multiLine=True, escape='"').na.fill("")
+            return csv_records(spark, path, codec, encoding, delimiter, format == "tsv")
+        if not delimiter:
+            line = top.decode(encoding, "replace").split("\n", 1)[0] if top else spark.read.text(path).limit(1).first()
+            line = line if isinstance(line, str) else (line.value if line else "")
+            delimiter = "\t" if format == "tsv" else delimiter_of(line)
+        if multi_line is None:
+            multi_line = spans_lines(top.decode(encoding, "replace"), delimiter)
+        df = spark.read.csv(path, header=True, sep=delimiter, encoding=encoding, inferSchema=False, multiLine=multi_line, escape='"')
+        return df.toDF(*column_names([c if not c.startswith("_c") else "" for c in df.columns])).na.fill("")
     if format == "json":
         return spark.read.json(path, multiLine=True)
     if format in ("jsonl", "ndjson"):
@@ -240,10 +342,98 @@ def database_tables(spark: SparkSession, url: str, schema: str | None = None, pr
     return [f"{r.table_schema}.{r.table_name}" for r in rows.select("table_schema", "table_name").orderBy("table_schema", "table_name").collect()]
 
 
+def mongo_uri(host: str = "localhost", port: int = 27017, user: str | None = None, password: str | None = None) -> str:
+    if host.startswith("mongodb"):
+        return host
+    who = f"{quote(user, safe='')}:{quote(password or '', safe='')}@" if user else ""
+    return f"mongodb://{who}{host}:{port}/"
+
+
+def mongo_collections(spark: SparkSession, uri: str, database: str) -> list[str]:
+    """All collections of a database, by the driver that the Spark connector brings."""
+    client = spark._jvm.com.mongodb.client.MongoClients.create(uri)
+    try:
+        names = client.getDatabase(database).listCollectionNames().into(spark._jvm.java.util.ArrayList())
+        return sorted(str(n) for n in names if not str(n).startswith("system."))
+    finally:
+        client.close()
+
+
 def read_mongo(spark: SparkSession, uri: str, database: str, collection: str, limit: int | None = 1000) -> DataFrame:
-    """A MongoDB collection; needs the Spark connector on the class path."""
-    df = spark.read.format("mongodb").options(**{"connection.uri": uri, "database": database, "collection": collection}).load()
-    return df if limit is None else df.limit(limit)
+    """A MongoDB collection; needs the Spark connector on the class path. The limit is part of the connector's pipeline, so no more is read."""
+    pipeline = {} if limit is None else {"aggregation.pipeline": f"[{{'$limit': {limit}}}]"}
+    return spark.read.format("mongodb").options(**{"connection.uri": uri, "database": database, "collection": collection, **pipeline}).load()
+
+
+# Embedded databases: no server and no JDBC driver, so the driver reads the first rows of each table.
+
+
+def embedded_tables(url: str, schema: str | None = None) -> list[str]:
+    """Tables of a file of DuckDB (duckdb:///path) or SQLite (sqlite:///path); of DuckDB those of one schema, main if none is given."""
+    kind, at = url.split(":///", 1)
+    if kind == "duckdb":
+        import duckdb
+
+        with duckdb.connect(at, read_only=True) as con:
+            return [r[0] for r in con.execute("select table_name from information_schema.tables where table_schema = ? order by 1", [schema or "main"]).fetchall()]
+    import sqlite3
+
+    with sqlite3.connect(at) as con:
+        return [r[0] for r in con.execute("select name from sqlite_master where type = 'table' and name not like 'sqlite_%' order by 1")]
+
+
+def read_embedded(spark: SparkSession, url: str, table: str, limit: int | None = 1000, schema: str | None = None, batch_size: int = 1000) -> DataFrame:
+    """A table of such a file. Texts of SQLite that aren't UTF-8 have what can't be read replaced; its columns may hold values of any kind, so they are read as texts where kinds are mixed."""
+    kind, at = url.split(":///", 1)
+    name = '"' + table.replace('"', '""') + '"'
+    most = "" if limit is None else f" limit {int(limit)}"
+    if kind == "duckdb":
+        import duckdb
+
+        with duckdb.connect(at, read_only=True) as con:
+            where = '"' + (schema or "main").replace('"', '""') + '".'
+            return spark.createDataFrame(con.execute(f"select * from {where}{name}{most}").to_arrow_table())
+    import sqlite3
+
+    with sqlite3.connect(at) as con:
+        con.text_factory = lambda b: b.decode("utf-8", "replace")
+        cur = con.execute(f"select * from {name}{most}")
+        names = column_names([c[0] for c in cur.description])
+        rows: list[tuple] = []
+        while some := cur.fetchmany(batch_size):
+            rows += some
+    kinds = []
+    for k in range(len(names)):
+        found = {type(r[k]) for r in rows} - {type(None)}
+        kinds.append("bigint" if found == {int} else "double" if found and found <= {int, float} else "binary" if found == {bytes} else "string")
+    fit = {"bigint": lambda v: v, "double": float, "binary": lambda v: v, "string": lambda v: v.decode("utf-8", "replace") if isinstance(v, bytes) else str(v)}
+    rows = [tuple(None if v is None else fit[kind](v) for v, kind in zip(r, kinds)) for r in rows]
+    return spark.createDataFrame(rows, ", ".join("`" + n.replace("`", "``") + f"` {kind}" for n, kind in zip(names, kinds)))
+
+
+def copy_to_sqlite(source: str, target: str, schema: str | None = None, batch_size: int = 10_000) -> dict[str, int]:
+    """All tables of a DuckDB file written to a SQLite file, in batches; the rows of each."""
+    import sqlite3
+
+    import duckdb
+
+    out = {}
+    with duckdb.connect(source, read_only=True) as con, sqlite3.connect(target) as to:
+        for t in embedded_tables(f"duckdb:///{source}", schema):
+            quoted = '"' + t.replace('"', '""') + '"'
+            cur = con.execute(f'select * from "{schema or "main"}".{quoted}')
+            columns = [c[0] for c in cur.description]
+            kinds = {"BIGINT": "INTEGER", "INTEGER": "INTEGER", "SMALLINT": "INTEGER", "TINYINT": "INTEGER", "HUGEINT": "INTEGER", "BOOLEAN": "INTEGER", "DOUBLE": "REAL", "FLOAT": "REAL", "BLOB": "BLOB"}
+            types = [kinds.get(str(c[1]).split("(")[0].upper(), "TEXT") for c in cur.description]
+            to.execute(f"drop table if exists {quoted}")
+            to.execute(f"create table {quoted} (" + ", ".join('"' + c.replace('"', '""') + f'" {k}' for c, k in zip(columns, types)) + ")")
+            n = 0
+            while rows := cur.fetchmany(batch_size):
+                plain = [tuple(v if v is None or isinstance(v, (int, float, str, bytes)) else str(v) for v in r) for r in rows]
+                to.executemany(f"insert into {quoted} values (" + ", ".join("?" * len(columns)) + ")", plain)
+                n += len(rows)
+            out[t] = n
+    return out
 
 
 def lenient_text(c):

@@ -222,6 +222,11 @@ def test_readers(spark, tmp_path):
 def test_format_helpers():
     assert readers.file_format("x/y.CSV.gz") == ("csv", "gz") and readers.file_format("a.b") == (None, None) and readers.is_supported("a.parquet")
     assert readers.delimiter_of("a,b;c;d") == ";" and readers.delimiter_of("abc") == ","
+    for name in ("windows-1251", "koi8-r", "cp866"):
+        assert readers.encoding_of("привет, как дела сегодня".encode(name)) == name
+    assert readers.encoding_of("café à la crème, niño".encode("latin-1")) == "iso-8859-1" and readers.encoding_of("a b".encode("utf-16le")) == "utf-16le"
+    assert readers.column_names(["a", "", "a"]) == ["a", "col_1", "a_2"]
+    assert readers.spans_lines('a,b\n"x\ny",1\n', ",") and not readers.spans_lines('a,b\nx"y,1\n', ",")
     assert readers.encoding_of("é".encode()[:1] + b"") == "utf-8" and readers.encoding_of("привет".encode("cp1251")) == "windows-1251"
 
 
@@ -318,3 +323,185 @@ def test_shapes():
     from tessera.functions.shapes import pattern
 
     assert pattern("AA-99.a") == r"^[A-Z]{2}\-[0-9]{2}\.[a-z]$"
+
+
+def test_csv_keeps_every_record(spark, tmp_path):
+    rows = 'id,name\n1,"x\ny"\nid,name\n2,\n'
+    (tmp_path / "a.csv").write_text(rows)
+    want = [("1", "x\ny"), ("2", ""), ("id", "name")]
+    assert sorted(tuple(r) for r in readers.read_file(spark, str(tmp_path / "a.csv")).collect()) == want
+    with zipfile.ZipFile(tmp_path / "b.csv.zip", "w") as z:
+        z.writestr("b.csv", rows)
+    assert sorted(tuple(r) for r in readers.read_file(spark, str(tmp_path / "b.csv.zip")).collect()) == want
+    (tmp_path / "c.csv").write_bytes("имя,город\nИван,Омск\nимя,город\nкороткая\n".encode("koi8-r"))
+    assert readers.read_file(spark, str(tmp_path / "c.csv")).count() == 3
+
+
+def test_embedded_databases(spark, tmp_path):
+    import sqlite3
+
+    import duckdb
+
+    at = str(tmp_path / "a.db")
+    with sqlite3.connect(at) as con:
+        con.execute("create table users (id integer, name text, score real, raw text)")
+        con.execute("insert into users values (1, 'Ann', 1.5, cast(x'ff41' as text)), (2, null, 2, 'ok')")
+        con.execute("create table empty_table (id integer)")
+    url = f"sqlite:///{at}"
+    assert readers.embedded_tables(url) == ["empty_table", "users"]
+    u = readers.read_embedded(spark, url, "users")
+    assert [f.dataType.simpleString() for f in u.schema] == ["bigint", "string", "double", "string"] and u.orderBy("id").first().raw == "\ufffdA"
+    assert readers.read_embedded(spark, url, "users", limit=1).count() == 1 and readers.read_embedded(spark, url, "empty_table").count() == 0
+    duck, copy = str(tmp_path / "d.duckdb"), str(tmp_path / "copy.db")
+    with duckdb.connect(duck) as con:
+        con.execute("create table products as select 7 as product_id, 'pen' as product_name, 1.25::decimal(10,2) as price, date '2020-01-02' as made")
+    p = readers.read_embedded(spark, f"duckdb:///{duck}", "products")
+    assert {x.key: x.labels for x in scan(p).collect()}["made"] == "date 100.00"
+    assert readers.copy_to_sqlite(duck, copy) == {"products": 1} and readers.read_embedded(spark, f"sqlite:///{copy}", "products").first().product_name == "pen"
+
+
+class Answers:
+    """A transport that answers from a function and remembers what it was asked."""
+
+    def __init__(self, answer):
+        self.answer, self.asked = answer, []
+
+    def __call__(self, method, url, headers, body, timeout):
+        self.asked.append((method, url, headers, json.loads(body) if body else None))
+        status, out = self.answer(method, url, self.asked[-1][3])
+        return status, json.dumps(out).encode()
+
+
+def test_providers():
+    from tessera.errors import ConfigError, RemoteError
+    from tessera.rag import providers
+
+    net = Answers(lambda *a: (200, {"choices": [{"message": {"content": "{}"}}]}))
+    assert providers.get_provider("OpenAI", api_key="k", transport=net)("q") == "{}"
+    method, url, headers, body = net.asked[0]
+    assert url.endswith("/chat/completions") and headers["Authorization"] == "Bearer k" and body["response_format"] == {"type": "json_object"} and body["temperature"] == 0.0
+    assert providers.get_provider("perplexity", api_key="k", transport=net)("q") == "{}" and "response_format" not in net.asked[1][3]
+    local = Answers(lambda *a: (200, {"message": {"content": "x"}}))
+    assert providers.get_provider("ollama", model="m", transport=local)("q") == "x" and local.asked[0][3] | {"messages": 0} == {"model": "m", "messages": 0, "stream": False, "format": "json"}
+    with pytest.raises(RemoteError):
+        providers.get_provider("lmstudio", transport=Answers(lambda *a: (500, {})))("q")
+    with pytest.raises(ConfigError):
+        providers.get_provider("nobody")
+    providers.register_provider("mine", lambda **o: lambda q: "own")
+    assert "mine" in providers.list_providers() and providers.get_provider("mine")("q") == "own"
+
+
+def test_index_and_modes_of_a_scan(spark, tmp_path):
+    from tessera.rag.classifier import Classifier, VectorIndex
+
+    (tmp_path / "r.jsonl").write_text('{"id":"email","name":"E-mail","langs":["en"],"categories":["pii"]}\n{"id":"zodiac","name":"Zodiac sign","langs":["en"]}\n')
+    entries = registry.load(spark, str(tmp_path / "r.jsonl"))
+    index = VectorIndex(spark, str(tmp_path / "index"))
+    assert index.count() == 0 and index.all() is None
+
+    def model(prompt):
+        assert "Zodiac" in prompt
+        return '{"datatype_id": "zodiac", "confidence": 0.9}' if "Field name: sign" in prompt else '{"datatype_id": "email", "confidence": 0.3}'
+
+    c = Classifier(model, index, entries, delay=0)
+    assert index.count() == 2 and index.get(["zodiac"]).count() == 1
+    index.add(entries)
+    assert index.count() == 2  # the same ids again
+    q = retrieve.embedded(spark.createDataFrame([("q", "Zodiac sign")], "query_id string, t string"), "t").select("query_id", "embedding")
+    assert index.search(q, 1).first().id == "zodiac" and [r.id for r in index.search(q, 2, categories=["PII", "x"]).collect()] == ["email"]
+    assert c.classify_field("sign", ["leo"])["datatype_id"] == "zodiac"
+    df = spark.createDataFrame([("leo", "7"), ("virgo", "8")], "sign string, id string")
+    of = lambda **o: {r.key: [(m.ruleid, m.dataclass, m.confidence) for m in r.matches] for r in scan(df, parse_dates=False, **o).collect()}
+    assert of(mode="hybrid", classifier=c) == {"id": [("uniqueidbyknown", "id", 100.0)], "sign": [("llm_classifier", "zodiac", 90.0)]}
+    assert of(mode="llm", classifier=c) == {"id": [("llm_classifier", "email", pytest.approx(30.0))], "sign": [("llm_classifier", "zodiac", 90.0)]}
+    assert of(mode="llm") == of()
+    with pytest.raises(ValueError):
+        scan(df, mode="magic")
+    index.clear()
+    assert index.count() == 0
+
+
+def test_emitters():
+    from pyspark.sql import Row
+
+    from tessera.plans import emit
+
+    row = Row(key="mail", address="db.t.mail", tags=["PII", "Email"], terms=["GlossaryTerm.email"], properties={"rule_id": "r"})
+    net = Answers(lambda *a: (200, {}))
+    emit.DataHub("http://h", emit.bearer("t"), transport=net).emit(row)
+    assert [a[3]["proposal"]["aspectName"] for a in net.asked] == ["globalTags", "glossaryTerms", "schemaFieldProperties"] and net.asked[0][2]["Authorization"] == "Bearer t"
+    table = {"id": "1", "columns": [{"name": "x"}, {"name": "mail", "tags": [{"tagFQN": "Tag.PII"}], "extension": {"a": 1}}]}
+    net = Answers(lambda m, url, b: (200, table))
+    emit.OpenMetadata("http://o/api", transport=net).emit(row)
+    patch = net.asked[1][3]
+    assert net.asked[1][0] == "PATCH" and [t["tagFQN"] for t in patch[0]["value"]] == ["Tag.PII", "Tag.Email", "GlossaryTerm.email"] and patch[1]["value"] == {"a": 1, "rule_id": "r"}
+    with pytest.raises(Exception, match="no table"):
+        emit.OpenMetadata("http://o", transport=Answers(lambda *a: (404, {}))).emit(row)
+
+    def atlas(method, url, body):
+        if "uniqueAttribute" in url:
+            return 200, {"entity": {"guid": "g"}}
+        if url.endswith("/classifications") and method == "GET":
+            return 200, {"list": [{"typeName": "PII"}]}
+        return 200, {"entity": {"guid": "g", "attributes": {"name": "n", "tessera_old": "1"}}}
+
+    for replace, want in ((False, {"name": "n", "tessera_old": "1", "tessera_rule_id": "r"}), (True, {"name": "n", "tessera_rule_id": "r"})):
+        net = Answers(atlas)
+        emit.Atlas("http://a", emit.basic("u", "p"), replace, transport=net).emit(row)
+        assert [a[3]["classification"]["typeName"] for a in net.asked if a[0] == "POST"] == ["Email"]
+        assert next(a[3] for a in net.asked if a[0] == "PUT")["entity"]["attributes"] == want
+
+
+def test_send_counts_what_was_tried(spark):
+    from tessera.plans import emit
+
+    class Fails(emit.Emitter):
+        def emit(self, row):
+            if row.key == "b":
+                raise RuntimeError("no")
+
+    df = spark.createDataFrame([("a", "a", ["x"], [], None), ("b", "b", ["y", "z"], ["t"], {"k": "v"})], "key string, address string, tags array<string>, terms array<string>, properties map<string,string>")
+    assert emit.send(df, Fails("http://x")) == {"fields": 2, "tags": 3, "terms": 1, "properties": 1, "errors": 1}
+
+
+def test_registry_client():
+    from tessera.rag.registry import RegistryClient
+
+    def answer(method, url, body):
+        if url.endswith("registry.json"):
+            return 200, {"email": {"id": "email"}}
+        return (200, {"id": "asn"}) if url.endswith("/datatype/asn.json") else (404, None)
+
+    c = RegistryClient("http://r/", transport=Answers(answer))
+    assert c.has("asn") and not c.has("zz") and c.get("asn") == {"id": "asn"}
+    assert c.ids() == ["email"] and c.has("email") and not c.has("asn")
+
+
+def test_name_functions_and_validators(spark, tmp_path):
+    from tessera.functions import checks
+
+    (tmp_path / "a.yaml").write_text("name: g\ndescription: d\nlang: en\ncontext: x\nrules:\n  r1:\n    key: dom\n    type: field\n    match: func\n    rule: some.where.domain\n")
+    own = rules.load([tmp_path])
+    df = spark.createDataFrame([("x",)], "`a.bc` string").withColumnRenamed("a.bc", "plain")
+    assert scan(df, own, parse_dates=False).first().matches == []
+    assert checks.holds("domain", "a.bc") and not checks.holds("domain", "plain")
+    asn = {"AS15169": True, "0": False, "23456": False, "64512": False, "131072": True, "4294967295": False, "x": False}
+    assert column(spark, list(asn), "string", CHECKS["validate_asn"]) == list(asn.values())
+    tags = {"en": True, "en-GB": True, "zh-Hant-TW": True, "e": False, "en_GB": False}
+    assert column(spark, list(tags), "string", CHECKS["validate_language_tag"]) == list(tags.values())
+
+
+def test_settings_stand_for_options():
+    a = cli.settled(["scan", "file", "x.csv", "--limit", "5"], {"rulepath": ["p", "q"], "limit": 9, "langs": ["en", "ru"], "min-confidence": 3})
+    assert a.rulepath == "p,q" and a.limit == 5 and a.langs == "en,ru" and a.mode == "rules"
+    assert cli.settled(["export", "atlas", "r.json", "ds"], {"min-confidence": 3}).min_confidence == 3
+    assert cli.settled(["server", "run"], {}).port == 10399
+
+
+def test_patterns_of_samples(spark):
+    from tessera.functions.shapes import induced
+
+    df = spark.createDataFrame([(x,) for x in ("AB-1", "AB-22", "CD-333", "CD-4", "x.y")], "v string")
+    got = {r.pattern: r.n for r in induced(df, "v").collect()}
+    assert got == {r"^(?:AB|CD)\-[0-9]{1,3}$": 4, r"^[a-z]\.[a-z]$": 1}
+    assert all(any(re.match(p, x) for p in got) for x in ("AB-1", "CD-333", "x.y"))
