@@ -172,7 +172,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--dict-share", type=float, default=10.0)
     s.add_argument("--indent", type=int, default=2)
     s.add_argument("--format", default="short")
-    s.add_argument("--output-format", default="table", choices=("table", "json", "yaml", "csv"))
+    s.add_argument("--output-format", default="table", choices=("table", "json", "jsonl", "yaml", "csv"))
     for flag in ("stop-on-match", "no-dates", "include-imprecise", "include-empty", "stats-only", "lenient", "pretty", "stdout"):
         s.add_argument(f"--{flag}", action="store_true")
     s.set_defaults(run=_scan)

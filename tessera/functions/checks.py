@@ -66,9 +66,61 @@ DATE_PATTERNS: list[tuple[str, str]] = [
 ]
 
 
+_NAMES = {
+    "en": _M,
+    "ru": _RU,
+    "fr": _FR,
+    "ru_short": "(?:янв|фев|мар|апр|мая|май|июн|июл|авг|сен|сент|окт|ноя|нояб|дек)\\.?",
+    "ru_alone": "(?:январь|февраль|март|апрель|май|июнь|июль|август|сентябрь|октябрь|ноябрь|декабрь)",
+    "de": "(?:januar|jänner|februar|märz|april|mai|juni|juli|august|september|oktober|november|dezember)",
+    "es": "(?:enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|setiembre|octubre|noviembre|diciembre)",
+    "it": "(?:gennaio|febbraio|marzo|aprile|maggio|giugno|luglio|agosto|settembre|ottobre|novembre|dicembre)",
+    "pt": "(?:janeiro|fevereiro|março|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro)",
+    "bg": "(?:януари|февруари|март|април|май|юни|юли|август|септември|октомври|ноември|декември)",
+    "cz": "(?:ledna|února|března|dubna|května|června|července|srpna|září|října|listopadu|prosince)",
+}
+_DAYS = r"(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?|(?:понедельник|вторник|среда|четверг|пятница|суббота|воскресенье),?"
+_CLOCKS = {"": "", "_minutes": rf"[T ,]+{_T}", "_seconds": rf"[T ,]+{_T}:[0-5]\d(?:[.,]\d+)?(?: ?(?:Z|UTC|GMT|[+-]\d\d:?\d\d))?", "_ampm": r" +(?:0?[1-9]|1[0-2]):[0-5]\d(?::[0-5]\d)? ?[APap]\.?[Mm]\.?"}
+
+
+def _layouts() -> list[tuple[str, str]]:
+    """Layouts by rule: an order of day, month and year, signs between them, names of months, and a time after it."""
+    known = {p for _, p in DATE_PATTERNS}
+    out: list[tuple[str, str]] = []
+
+    def add(key: str, body: str, caseless: bool = False) -> None:
+        for clock, tail in _CLOCKS.items():
+            pattern = f"{'(?i)' if caseless else ''}^{body}{tail}$"
+            if pattern not in known:
+                out.append((key + clock, pattern))
+
+    for name, sign in (("dash", "-"), ("slash", "/"), ("dot", r"\."), ("space", " ")):
+        add(f"ymd_{name}_any", sign.join((_Y, _MM, _D)))
+        add(f"dmy_{name}_any", sign.join((_D, _MM, _Y)))
+        add(f"mdy_{name}_any", sign.join((_MM, _D, _Y)))
+        add(f"dmy_{name}_short", sign.join((_D, _MM, r"\d\d")))
+        add(f"mdy_{name}_short", sign.join((_MM, _D, r"\d\d")))
+        add(f"ym_{name}", sign.join((_Y, _MM)))
+        add(f"my_{name}", sign.join((_MM, _Y)))
+    add("ymd_compact", r"(?:1\d|20)\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])")
+    for lang, months in _NAMES.items():
+        add(f"d_month_y_{lang}_any", rf"(?:(?:{_DAYS}) +)?{_D}(?:st|nd|rd|th|er|\.)?(?: de|[ .-])? ?{months}\.?,?(?: de|[ -])? ?{_Y}(?: ?(?:г\.?|года))?", True)
+        add(f"month_d_y_{lang}", rf"(?:(?:{_DAYS}) +)?{months}\.? +{_D}(?:st|nd|rd|th)?,? +{_Y}", True)
+        add(f"y_month_d_{lang}", rf"{_Y}[ -]{months}[ -]{_D}", True)
+        add(f"month_y_{lang}_any", rf"{months}\.?,?(?: de)? +{_Y}(?: ?(?:г\.?|года))?", True)
+        add(f"d_month_short_{lang}", rf"{_D}[ -]{months}[ -]\d\d", True)
+    out += [("iso_week", rf"^{_Y}-W(?:0[1-9]|[1-4]\d|5[0-3])(?:-[1-7])?$"), ("ordinal", rf"^{_Y}-(?:[0-2]\d\d|3[0-6]\d)$"), ("ctime", rf"(?i)^(?:mon|tue|wed|thu|fri|sat|sun) {_M} +{_D} {_T}:[0-5]\d(?: [A-Z]{{3,4}})? {_Y}$")]
+    return out
+
+
+DATE_PATTERNS += _layouts()
+#: Most texts are no dates: one look at their beginning spares the others.
+MAYBE_DATE = r"(?i)^(?=.{6,60}$)(?:\d{1,4}[\p{L}\s./,-]|\d{8}(?:\D|$)|\p{L}{3,12}[.,]?\s)"
+
+
 def date_pattern(v: Column) -> Column:
     """The key of the first layout that the text has, or null."""
     out = None
     for key, pattern in DATE_PATTERNS:
         out = F.when(v.rlike(pattern), key) if out is None else out.when(v.rlike(pattern), key)
-    return out
+    return F.when(v.rlike(MAYBE_DATE), out)

@@ -16,7 +16,7 @@ from .operators.flatten import char_histogram, first_values, flatten, flatten_js
 from .operators.profile import histogram, profile
 from .plans import export, rules
 from .plans.ppr import compile_rule
-from .plans.scan import BASE_URL, Field, date_matches, field_matches, labels, lengths_meet, names_match, scan, value_matches
+from .plans.scan import BASE_URL, Field, date_matches, field_matches, labels, lengths_meet, names_match, scan, scan_all, value_matches
 from .rag import registry, retrieve
 from .streaming.profile import drained, running_histogram
 
@@ -410,8 +410,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 # Reports
 
 
-def _flat_report(report: DataFrame) -> DataFrame:
-    return report.select("key", "ftype", F.array_join("tags", ",").alias("tags"), "labels", F.coalesce("datatype_url", F.lit("")).alias("datatype_url"))
+def _flat_report(report: DataFrame, *more: str) -> DataFrame:
+    return report.select(*more, "key", "ftype", F.array_join("tags", ",").alias("tags"), "labels", F.coalesce("datatype_url", F.lit("")).alias("datatype_url"))
 
 
 def _report_sql(table: str, names: str, where: str = "") -> str:
@@ -441,12 +441,9 @@ _SCANNED = {"customer": "", "orders": _ORDERS_LABELS, "events": "('ts', 'datetim
 
 @query("end_to_end_scan", " union all ".join(f"select *, '{t}' as \"table\" from ({_report_sql(t, names or chr(40) + repr('-') + ', null, null)')})" for t, names in _SCANNED.items()))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    tables = {t: read(spark, d, t) for t in ("customer", "orders", "events", "pages", "nation", "labels")}
-    out = None
-    for t, df in tables.items():
-        one = _flat_report(scan(df, order_by=ORDER[t])).withColumn("table", F.lit(t))
-        out = one if out is None else out.unionByName(one)
-    return out
+    tables = {t: read(spark, d, t) for t in _SCANNED}
+    report = scan_all(tables, ORDER)
+    return _flat_report(report, "table")
 
 
 @query("shape_patterns", "select shape, count(*) as n from (select regexp_replace(regexp_replace(regexp_replace(c_name, '\\p{Nd}', '9', 'g'), '\\p{Lu}', 'A', 'g'), '\\p{Ll}', 'a', 'g') as shape from customer) group by shape")

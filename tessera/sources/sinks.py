@@ -46,10 +46,12 @@ def write(df: DataFrame, path: str, format: str = "json") -> None:
 
 
 def document(df: DataFrame, format: str = "json", pretty: bool = False, indent: int = 2) -> str:
-    """A report, a row a field, as one text: json, yaml, csv or table."""
+    """A report, a row a field, as one text: json, jsonl (a record a line), yaml, csv or table."""
     import json
 
     rows = [r.asDict(recursive=True) for r in df.collect()]
+    if format == "jsonl":
+        return "\n".join(json.dumps(r, ensure_ascii=False, default=str) for r in rows)
     if format == "json":
         return json.dumps(rows, ensure_ascii=False, default=str, indent=indent if pretty else None, sort_keys=pretty)
     if format == "yaml":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,23 @@ def running_histogram(stream: DataFrame, time: str | None = None, window: str =
 
 
 def drained(spark: SparkSession, df: DataFrame, mode: str = "complete") -> DataFrame:
-    """The result of a streaming query after all that is there has been read, from the memory sink: for tests and small results."""
-    name = f"stream_{uuid.uuid4().hex}"
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """The result of a streaming query after all that is there has been read: each batch replaces a table, which is read at the end. Checkpoint and table lie in the folder that spark.checkpoint.dir names, in a local test without one in a temporary folder."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="tessera-stream-")
+    at = f"{at.rstrip('/')}/tessera/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/table")
+
+    q = df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(at)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.deleteOnExit(p)
+    if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{at}/table")):
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(f"{at}/table")

@@ -181,6 +181,9 @@ def test_scan_options(spark):
     assert scan(df, confidence=100).first().matches == []
     assert scan(df, stats_only=True).columns == list(STATS)
     assert scan(df, langs=["ru"]).first().matches == []
+    # Beside a missing value an empty text makes the lengths unknown: they count as 4, so rules for 4 letters apply.
+    odd = spark.createDataFrame([("true",), (None,), ("",)], "v1 string")
+    assert [m.dataclass for m in scan(odd, confidence=60).first().matches] == ["boolean"]
     with pytest.raises(KeyError):
         scan(df, fields=["nope"])
     assert [r.key for r in scan_all({"a": df, "b": df}).select("table", "key").collect()] == ["v1", "v1"]
@@ -189,7 +192,7 @@ def test_scan_options(spark):
 def test_checks_and_dates(spark):
     assert column(spark, ["https://a.b/c?d", "http://localhost:80/", "a.b", "http://", "http://a b.c"], "string", CHECKS["url"]) == [True, True, False, False, False]
     assert column(spark, ["a.bc", "a-b.co.uk", "-a.bc", "a", "a..b"], "string", CHECKS["domain"]) == [True, True, False, False, False]
-    cases = {"2020-01-31": "iso_date", "31.12.2020": "dmy_dot", "12/31/2020": "mdy_slash", "31/12/2020": "dmy_slash", "5 May 2020": "d_month_y", "5 мая 2020": "d_month_y_ru", "2020-13-01": None, "x": None}
+    cases = {"2020-01-31": "iso_date", "31.12.2020": "dmy_dot", "12/31/2020": "mdy_slash", "31/12/2020": "dmy_slash", "5 May 2020": "d_month_y", "5 мая 2020": "d_month_y_ru", "2020-13-01": None, "x": None, "2020.1.2 10:15": "ymd_dot_any_minutes", "3. Mai 2021": "d_month_y_fr_any", "3. März 2021": "d_month_y_de_any", "3 de mayo de 2021": "d_month_y_es_any", "5/6/21": "dmy_slash_short", "2021-W05": "iso_week", "Sept 2020": "month_y", "20200131": "ymd_compact", "05.06.2020 10:11:12": "dmy_dot_time", "Mon, 5 Jan 2020 10:11:12 +0000": "rfc822"}
     assert column(spark, list(cases), "string", date_pattern) == list(cases.values())
 
 
@@ -235,6 +238,7 @@ def test_sinks(spark, tmp_path):
     r = scan(df)
     assert json.loads(sinks.document(sinks.result_rows(r)))[0]["labels"] == "id 100.00"
     assert "id 100.00" in sinks.document(sinks.result_rows(r), "csv") and "id 100.00" in sinks.document(sinks.result_rows(r), "yaml") and "id 100.00" in sinks.document(sinks.result_rows(r), "table")
+    assert [json.loads(x)["key"] for x in sinks.document(r, "jsonl").splitlines()] == ["id"]
     sinks.write(r, str(tmp_path / "o"), "csv")
     assert spark.read.csv(str(tmp_path / "o"), header=True).first().tags == "uniq"
     assert sinks.displayed(scan(df.withColumnRenamed("id", "zz"))).count() == 0

@@ -10,7 +10,7 @@ import __spark_entry__
 from tessera import queries
 
 TABLES = "/root/testdata/sf0.001"
-CHEAP = ["profile_customer", "profile_orders", "kind_counts", "flatten_props_json", "rules_stats", "field_rule_text", "data_text_confidence", "ppr_numbers", "date_format_detect", "except_empty_on_off", "report_rows_full", "best_match", "export_merge", "knn_topk", "llm_prompt_text", "hybrid_merge", "registry_text"]
+CHEAP = ["profile_customer", "profile_orders", "kind_counts", "flatten_props_json", "rules_stats", "field_rule_text", "data_text_confidence", "ppr_numbers", "date_format_detect", "except_empty_on_off", "report_rows_full", "best_match", "export_merge", "knn_topk", "llm_prompt_text", "hybrid_merge", "registry_text", "rules_list", "rule_dedupe", "rule_filter_country", "datatype_dictionary", "export_min_confidence", "country_code_norm", "knn_filtered_overfetch", "profile_multi_table"]
 
 
 def shown(v):
