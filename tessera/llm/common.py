@@ -171,6 +171,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def mix_in(h: np.ndarray, spare: np.ndarray) -> None:
+    """mix() over h itself, with an array of the same size to work in."""
+    for by, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 0)):
+        np.right_shift(h, U64(by), out=spare)
+        np.bitwise_xor(h, spare, out=h)
+        if times:
+            np.multiply(h, U64(times), out=h)
+
+
 def mix_int(x: int) -> int:
     return int(mix(np.array([x & (2**64 - 1)], U64))[0])
 
