@@ -215,7 +215,9 @@ def rewrite(docs: DataFrame, path: str, shard: str = "source", name: str = "shar
     """Write what has to be written of resharded docs under path, by shard: moved documents, and the rest of the shards they left. Gives the documents that were left as they are."""
     moved = ~col(name).eqNullSafe(col(shard))
     (d,) = fresh(docs, "donor")
-    donors = docs.where(moved).select(col(shard).alias(d)).distinct()  # a row a shard
+    donors = cut(docs.where(moved).select(col(shard).alias(d)).distinct(), "donors")  # a row a shard
+    if donors.count() <= BROADCAST_ROWS:
+        donors = F.broadcast(donors)  # else all documents of a hot shard would meet in one task
     touched = docs.join(donors, col(shard).eqNullSafe(col(d)), "left_semi")
     written(touched.hint("rebalance", name), path, by=name)
     return docs.join(donors, col(shard).eqNullSafe(col(d)), "left_anti")
