@@ -7,29 +7,27 @@ one sketch entry. Two documents agree in an entry with a probability that
 follows their edit similarity (Order MinHash), not only their sets. Documents
 with equal token sequences are folded into one first.
 
-Candidates: within each group of equal entries every document is compared with
-one, the pivot: the group's lowest id. Members that the alignment rejects are
-grouped again, without pivot and accepted ones, for PIVOT_ROUNDS rounds, so a
-group of n copies costs n comparisons, not n squared. Texts whose lengths differ
-too much for the threshold are rejected unseen. What is left of a group of
-up to PAIRED members is compared pair by pair. A larger one is a group of texts
-that only share a common phrase; it is split, first by length (into overlapping
-classes, so that no possible pair is parted), then by a further sketch of its
-members (of other hash functions), and the parts go through the same rounds,
-level by level; what the last of LEVELS leaves is compared pair by pair, so no
-candidate is dropped for the size of its group. A pair at 0.80 that such a group holds
-shares no entry of one further sketch with a probability of about 0.02.
-Groups are found by aggregates with a partial one in the tasks, and members meet
-their pivot in a join, so a hot group needs no task of its own.
+Candidates: all pairs of texts that have an entry in common, whatever the size of
+its group. Each text carries a bag, a table of bits that tells which of its
+hashed tokens stand in it once and which twice; what one bag has and the other
+lacks is a lower bound of the edit distance, so a pair over the threshold is
+rejected for certain without its texts. In a first round every member of a group is
+aligned with the lowest id among those that its bag doesn't reject, and texts
+that are linked make classes. Where a group holds more such pairs, a last round
+aligns all of them whose texts aren't of one class yet. So a group of n copies
+costs about n alignments, and every pair of a group is aligned, or rejected by a
+bound, or of one class: no candidate is dropped. A group of over PAIRED members is
+laid out in tiles, each a task's work of at most PAIRED squared bags, so a hot
+group needs no task of its own; the number of bags compared grows with its
+square, that of alignments with the pairs that the bags leave.
 
 Verification: edit distance over tokens, restricted to the diagonal band that
 the similarity threshold allows; exact within the band, so a pair is accepted if
 and only if 1 - distance / longer length >= threshold. Pairs of a batch are
 aligned together, first in a narrow band, which is enough for most copies; wide
 bands are bit-parallel. Texts of over LONG tokens are cut at anchors (8-grams
-that stand once in each, in the same order) and aligned between them: their
-distance is an upper bound, and what lies between two anchors that are further
-than LONG apart counts as different.
+that stand once in each, in the same order) and aligned between them, which gives
+an upper bound of their distance; only if that is over the threshold they are aligned whole.
 
 Defined results: a null text counts as an empty one; documents without tokens
 (null, empty, only punctuation) carry no evidence and are never duplicates;
@@ -42,21 +40,22 @@ doc_id stays. Scripts without blanks are compared by characters (see common).
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Tokens, cut, drop_ids, mix, mix_in, mix_int, owned, slices, table, window_hash
+from .common import U64, Tokens, cut, drop_ids, mix, mix_in, mix_int, only_ids, owned, slices, table, window_hash
 
 K, L, M = 3, 2, 32
 SIMILARITY = 0.8
-PIVOT_ROUNDS, PAIRED, LEVELS = 3, 64, 5
+PIVOT_ROUNDS, PAIRED = 1, 4096
+LEAST_BAG = 128  # buckets, of which a bag has at least as many as its text has tokens
+ROWS = 20_000  # members of groups that are compared together
 NARROW, WIDE, LONG, ANCHOR = 16, 300, 200_000, 8  # half bands, tokens
 CELLS = 20_000  # of one row of all tables that are computed together; small enough for the cache
 LIKELY = 16  # k-mers of a document that are looked at for an entry, on average
@@ -76,7 +75,7 @@ def occurrence(keys: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(h: np.ndarray, off: np.ndarray, k: int = K, l: int = L, m: int = M, level: int = 0) -> np.ndarray:
+def sketch(h: np.ndarray, off: np.ndarray, k: int = K, l: int = L, m: int = M) -> np.ndarray:
     """m entries for each document with a token; documents of under k tokens are one k-mer."""
     n = np.diff(off)
     size = np.maximum(n - k + 1, 1)
@@ -94,7 +93,7 @@ def sketch(h: np.ndarray, off: np.ndarray, k: int = K, l: int = L, m: int = M, l
     bound = np.repeat(np.where(size <= LIKELY, _TOP, (LIKELY / np.maximum(size, LIKELY + 1) * 2.0**64).astype(U64)), size) if len(n) else km
     h1, spare, low = np.empty_like(km), np.empty_like(km), np.empty(len(km), bool)  # memory is touched once, not for each entry
     for j in range(m):
-        x = np.bitwise_xor(km, U64(mix_int(j + 31 + 1000 * level)), out=h1)
+        x = np.bitwise_xor(km, U64(mix_int(j + 31)), out=h1)
         mix_in(x, spare)
         np.less_equal(x, bound, out=low)
         count = np.add.reduceat(low, starts, dtype=np.int64)
@@ -291,7 +290,7 @@ def similar(pairs: list[tuple[np.ndarray, np.ndarray]], least: float) -> np.ndar
         if unmatched(a, b) > limit:
             continue
         if n > LONG:
-            ok[k] = anchored(a, b, limit) <= limit
+            ok[k] = anchored(a, b, limit) <= limit or banded_distance(*(x.tolist() for x in trimmed(a, b)), limit) <= limit
         else:
             todo.append((k, limit, *trimmed(a, b)))
     for half in (NARROW, WIDE):
@@ -319,8 +318,58 @@ def similar(pairs: list[tuple[np.ndarray, np.ndarray]], least: float) -> np.ndar
     return ok
 
 
+def bags(tok: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """For each text two planes of bits, of the buckets that hold a token of it, and of those that hold two. tok: 32-bit tokens, as they are aligned."""
+    n = np.diff(off)
+    size = np.maximum(LEAST_BAG, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    at = np.r_[0, np.cumsum(size)]
+    count = np.bincount(np.repeat(at[:-1], n) + (tok.astype(np.int64) & np.repeat(size - 1, n)), minlength=at[-1])
+    one, two = (np.packbits(count >= k, bitorder="little").tobytes() for k in (1, 2))
+    return [one[i:j] + two[i:j] for i, j in zip((at[:-1] // 8).tolist(), (at[1:] // 8).tolist())]
+
+
+class Bags:
+    """Bags by the number of words of a plane, those of somewhat longer texts folded to the same size."""
+
+    def __init__(self, bags: pa.Array, least: float):
+        bags = bags.cast(pa.large_binary())
+        off = np.frombuffer(bags.buffers()[1], np.int64)[bags.offset : bags.offset + len(bags) + 1]
+        words = np.frombuffer(bags.buffers()[2], np.uint64, (off[-1] - off[0]) // 8, off[0])
+        first, self.size = (off[:-1] - off[0]) // 8, np.diff(off) // 16
+        self.tables = {}
+        upper = np.zeros(0, np.int64), np.zeros((0, 0), U64)
+        sizes = np.unique(self.size)
+        w = int(sizes[-1]) if len(sizes) else 0
+        while w >= (int(sizes[0]) if len(sizes) else 1):
+            rows, planes = upper
+            if len(rows):
+                near = self.size[rows] * least <= 2 * w  # longer ones are never compared with these
+                rows, planes = rows[near], planes[near]
+                a, b, c, d = (planes[:, i * w : (i + 1) * w] for i in range(4))
+                planes = np.hstack([a | b, c | d | a & b])
+            own = np.flatnonzero(self.size == w)
+            rows = np.r_[rows, own]
+            planes = np.vstack([planes.reshape(-1, 2 * w), words[first[own][:, None] + np.arange(2 * w)]])
+            place = np.full(len(self.size), -1)
+            place[rows] = np.arange(len(rows))
+            self.tables[w] = place, planes, np.bitwise_count(planes).sum(1, dtype=np.int64)
+            upper = rows, planes
+            w //= 2
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """A lower bound of the edit distance of each text i and j, j not being shorter."""
+        out = np.empty(len(i), np.int64)
+        for w in np.unique(self.size[i]):
+            place, planes, held = self.tables[int(w)]
+            mine = np.flatnonzero(self.size[i] == w)
+            for at in np.split(mine, range(step := max(1, 250_000 // int(w)), len(mine), step)):
+                x, y = place[i[at]], place[j[at]]
+                out[at] = np.maximum(held[x], held[y]) - np.bitwise_count(planes[x] & planes[y]).sum(1, dtype=np.int64)
+        return out
+
+
 def sketches(docs: DataFrame, k: int = K, l: int = L, m: int = M) -> DataFrame:
-    """(doc_id, key, n, entries) for every document with a token; key is a 128-bit hash of the n tokens in their order."""
+    """(doc_id, key, n, entries, bag) for every document with a token; key is a 128-bit hash of the n tokens in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -329,13 +378,15 @@ def sketches(docs: DataFrame, k: int = K, l: int = L, m: int = M) -> DataFrame:
             has = np.flatnonzero(n)
             if not len(has):
                 continue
-            e = sketch(t.h, np.r_[0, np.cumsum(n[has])], k, l, m)
+            off = np.r_[0, np.cumsum(n[has])]
+            e = sketch(t.h, off, k, l, m)
             key = [xxhash.xxh128_digest(t.h[t.off[i] : t.off[i + 1]].tobytes()) for i in has]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(has)), pa.array(key, pa.binary()), pa.array(n[has].astype(np.int32)), pa.ListArray.from_arrays(np.arange(0, e.size + 1, m, dtype=np.int32), pa.array(e.view(np.int64).ravel()))], ["doc_id", "key", "n", "entries"]
+                [b.column("doc_id").take(pa.array(has)), pa.array(key, pa.binary()), pa.array(n[has].astype(np.int32)), pa.ListArray.from_arrays(np.arange(0, e.size + 1, m, dtype=np.int32), pa.array(e.view(np.int64).ravel())), pa.array(bags(t.h >> U64(32), off), pa.binary())],
+                ["doc_id", "key", "n", "entries", "bag"],
             )
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key binary, n int, entries array<long>")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key binary, n int, entries array<long>, bag binary")
 
 
 def token_table(docs: DataFrame) -> DataFrame:
@@ -378,77 +429,96 @@ def components(edges: DataFrame) -> DataFrame:
         lab = new.select("node", "label")
 
 
-def further(tokens: DataFrame, k: int, l: int, m: int, level: int) -> DataFrame:
-    """(doc_id, e2): the entries of another sketch of packed tokens."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "tok"):
-            raw = [x.as_buffer() for x in b.column("tok")]
-            n = np.array([x.size // 4 for x in raw], np.int64)
-            h = np.concatenate([np.frombuffer(x, np.uint32) for x in raw]).astype(U64)
-            e = sketch(mix(h), np.r_[0, np.cumsum(n)], k, l, m, level)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(np.repeat(np.arange(len(n)), m))), pa.array(e.view(np.int64).ravel())], ["doc_id", "e2"])
-
-    return tokens.where("length(tok) > 0").mapInArrow(run, "doc_id long, e2 long")
-
+def compared(t: pa.Table, least: float, every: bool) -> pa.RecordBatch:
+    """(g, a, b) of pairs of one group that their bags don't reject; t: g, side, doc_id, label, n, bag, by g and n, whole groups. Without every only the lowest partner of each member, and a row without a and b for each group that has more pairs."""
+    g, side, ident, label, n = (t.column(c).to_numpy() for c in ("g", "side", "doc_id", "label", "n"))
+    bag = Bags(t.column("bag").combine_chunks(), least)
+    most = np.floor(n * (1 - least) + 1e-9).astype(np.int64)
+    group = np.cumsum(np.r_[0, g[1:] != g[:-1]])
+    best, found = np.full(len(g), np.iinfo(np.int64).max), np.zeros(group[-1] + 1, np.int64)
+    out, i, step = [], np.arange(len(g)), 0
+    while len(i):
+        step += 1
+        i = i[i + step < len(g)]
+        j = i + step
+        stay = (g[i] == g[j]) & (n[j] - n[i] <= most[j])  # those further on are longer still
+        i, j = i[stay], j[stay]
+        some = np.flatnonzero((label[i] != label[j]) & ((side[i] < 0) | (side[i] != side[j])))
+        some = some[bag.apart(i[some], j[some]) <= most[j[some]]]
+        x, y = i[some], j[some]
+        x, y = np.where(ident[x] > ident[y], x, y), np.where(ident[x] > ident[y], y, x)
+        if every:
+            out.append(np.stack([g[x], ident[x], ident[y]]))
+        else:
+            np.minimum.at(best, x, ident[y])
+            found += np.bincount(group[x], minlength=len(found))
+    if every:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in np.hstack(out)], ["g", "a", "b"])
+    has = np.flatnonzero(best < np.iinfo(np.int64).max)
+    more = np.flatnonzero(found > np.bincount(group[has], minlength=len(found)))
+    more = g[np.searchsorted(group, more)]
+    none = pa.nulls(len(more), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.r_[g[has], more]), *(pa.concat_arrays([pa.array(x[has]), none]) for x in (ident, best))], ["g", "a", "b"])
 
-def close(n: str, m: str, least: float) -> Column:
-    """Whether texts of n and m tokens can be as similar as that."""
-    return F.expr(f"abs({n} - {m}) <= greatest({n}, {m}) * {1 - least!r} + 1e-9")
 
+def candidates(groups: DataFrame, texts: DataFrame, labels: DataFrame | None, least: float, every: bool) -> DataFrame:
+    """What compared() gives for the groups (g, side, doc_id) of texts (doc_id, n, bag); documents of one label (node, label) are linked already."""
 
-def pivoted(groups: DataFrame, tokens: DataFrame, least: float, rounds: int, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """The comparisons (a, b, ok) done after so many rounds over the groups (e, doc_id, n), and what is left of the groups."""
-    left = groups
-    for _ in range(rounds):
-        ends = left.groupBy("e").agg(F.min("doc_id").alias("pivot"), F.min_by("n", "doc_id").alias("m"), F.max("doc_id").alias("other")).where("pivot <> other").select("e", "pivot", "m")
-        left = cut(left.join(ends, "e").where("doc_id <> pivot").distinct(), "left")
-        pairs = left.where(close("n", "m", least)).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= ROWS:
+                t = pa.Table.from_batches(held).combine_chunks()
+                g = t.column("g").to_numpy()
+                if whole := int(np.searchsorted(g, g[-1])):
+                    yield compared(t.slice(0, whole), least, every)
+                held = t.slice(whole).to_batches()
+        if sum(x.num_rows for x in held):
+            yield compared(pa.Table.from_batches(held), least, every)
+
+    t = groups.join(texts, "doc_id")
+    if labels is None:
+        t = t.withColumn("label", F.col("doc_id"))
+    else:
+        t = t.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    t = t.select("g", F.col("side").cast("long").alias("side"), "doc_id", "label", F.col("n").cast("long").alias("n"), "bag")
+    return t.repartition("g").sortWithinPartitions("g", "n", "doc_id").mapInArrow(run, "g long, a long, b long")
+
+
+def tiled(groups: DataFrame, paired: int) -> DataFrame:
+    """(g, side, doc_id): the groups (e, doc_id, size), those of over paired members as tiles. Members of one group that meet in no other tile are of different sides, or all of side -1."""
+    g = groups.withColumn("parts", F.ceil(F.col("size") / paired)).withColumn("own", F.expr("pmod(xxhash64(doc_id, 5), parts)"))
+    g = g.withColumn("other", F.explode(F.expr("if(parts = 1, array(0L), sequence(0L, parts - 1))")))
+    tile = F.when(F.col("parts") == 1, F.col("e")).otherwise(F.xxhash64("e", F.least("own", "other"), F.greatest("own", "other")))
+    return g.select(tile.alias("g"), F.expr("case when own = other then -1 when own < other then 0 else 1 end").alias("side"), "doc_id")
+
+
+def near_pairs(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, l: int = L, m: int = M, pivot_rounds: int = PIVOT_ROUNDS, paired: int = PAIRED) -> tuple[DataFrame, DataFrame]:
+    """Accepted pairs of different token sequences (a, b) that link all texts that a chain of such pairs with entries in common links, and equal sequences (a, b); a > b."""
+    sk = cut(sketches(docs, k, l, m), "sketches")
+    reps = cut(sk.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("entries").alias("entries"), F.first("bag").alias("bag")), "texts")
+    same = sk.select("key", "doc_id").join(reps.select("key", "rep"), "key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    texts = reps.select(F.col("rep").alias("doc_id"), "n", "bag")
+    firsts = reps.select(F.col("rep").alias("doc_id"), F.explode("entries").alias("e"))
+    ends = firsts.groupBy("e").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("other"), F.count("*").alias("size")).where("least <> other").select("e", "size")
+    left = cut(tiled(firsts.join(ends, "e").distinct(), paired), "groups")
+    done = labels = tokens = None
+    for turn in range(pivot_rounds + 1):
+        last = turn == pivot_rounds
+        found = cut(candidates(left, texts, labels, similarity, last), "found")
+        pairs = found.where("a is not null").select("a", "b").distinct()
+        left = cut(left.join(found.where("a is null").select("g").distinct(), "g", "left_semi"), "left")
+        if tokens is None:
+            ids = pairs.select("a").union(pairs.select("b")).union(left.select("doc_id")).toDF("id")
+            tokens = cut(token_table(only_ids(docs, ids)), "tokens")
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        new = cut(verified(pairs, tokens, least), "verified")
+        new = cut(verified(pairs, tokens, similarity), "verified")
         done = new if done is None else done.union(new)
-        # All that the pivot's comparison hasn't accepted are grouped again, without the pivot.
-        left = left.join(done.where("ok").select(F.col("a").alias("doc_id"), F.col("b").alias("pivot")), ["doc_id", "pivot"], "left_anti").select("e", "doc_id", "n")
-        left = cut(left, "rejected")
-        if left.isEmpty():
+        if last or left.isEmpty():
             break
-    return done, left
-
-
-def near_pairs(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, l: int = L, m: int = M, pivot_rounds: int = PIVOT_ROUNDS, paired: int = PAIRED, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
-    """Accepted pairs of different token sequences (a, b), and equal sequences (a, b); a > b."""
-    sk = cut(sketches(docs, k, l, m), "sketches")
-    reps = cut(sk.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min_by("entries", "doc_id").alias("entries")), "texts")
-    same = sk.select("key", "doc_id").join(reps.select("key", "rep"), "key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    firsts = reps.select(F.col("rep").alias("doc_id"), "n", F.explode("entries").alias("e"))
-    ends = firsts.groupBy("e").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("other")).where("pivot <> other").select("e")
-    groups = cut(firsts.join(ends, "e").distinct(), "groups")
-    tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(groups.select("doc_id").distinct(), "doc_id", "left_semi")
-    tokens = cut(token_table(tokens), "tokens")
-    done, left = pivoted(groups, tokens, similarity, pivot_rounds, None)
-    for level in range(1, levels + 1):
-        if left.isEmpty():
-            break
-        sizes = cut(left.groupBy("e").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-        few = left.join(sizes.where(F.lit(level == levels) | (F.col("size") <= paired)).select("e"), "e")
-        # At most paired members, but for what the last level leaves.
-        one, two = (few.select("e", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-        pairs = one.join(two, "e").where((F.col("a") > F.col("b")) & close("na", "nb", similarity)).select("a", "b").distinct()
-        done = done.union(cut(verified(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), tokens, similarity), "verified"))
-        many = sizes.where((F.lit(level < levels)) & (F.col("size") > paired)).select("e")
-        if many.isEmpty():
-            break
-        hot = left.join(many, "e")
-        if level == 1:
-            # Lengths that can be similar are in the same class or in neighbouring ones.
-            size = F.floor(F.log("n") / -math.log(similarity)) if 0 < similarity < 1 else F.lit(0)
-            parts = hot.select(F.explode(F.array(size, size + 1)).alias("e2"), "e", "doc_id", "n")
-        else:
-            more = further(tokens.join(hot.select("doc_id").distinct(), "doc_id", "left_semi"), k, l, m, level)
-            parts = hot.join(more, "doc_id")
-        parts = parts.select(F.xxhash64("e", "e2").alias("e"), "doc_id", "n").distinct()
-        done, left = pivoted(cut(parts, "parts"), tokens, similarity, pivot_rounds, done)
+        labels = components(done.where("ok"))
     return done.where("ok").select("a", "b"), same
 
 

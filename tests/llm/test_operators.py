@@ -119,6 +119,69 @@ def test_rejected_group_members_are_compared_pair_by_pair(spark):
     assert {d for d, _ in c} == {d for d, _ in a}
 
 
+def sharing(texts, m):
+    """Whether all texts have an entry of a sketch of m in common."""
+    t = order_minhash.Tokens(pa.array(texts))
+    e = order_minhash.sketch(t.h, t.off, m=m)
+    return bool(set.intersection(*({*map(int, x)} for x in e)))
+
+
+def test_no_link_of_a_group_is_lost(spark):
+    rng = random.Random(41)
+    rows, want = [], set()
+    while len(rows) < 30:
+        # Each differs from the one before by 7 of 40 words: the third isn't near the first, the lowest id of their one group, which takes the second.
+        chain = [prose(rng, 40).split()]
+        places = rng.sample(range(40), 14)
+        for some in (places[:7], places[7:]):
+            chain.append([rng.choice(WORDS) + "x" if i in some else w for i, w in enumerate(chain[-1])])
+        if sharing(texts := [" ".join(w) for w in chain], 1):
+            d = len(rows)
+            rows += [(d + k, text, "en", "a") for k, text in enumerate(texts)]
+            want |= {(d + 1, d), (d + 2, d)}
+    got = {tuple(r) for r in order_minhash.duplicates(documents(spark, rows), m=1).collect()}
+    assert got == want
+
+
+def test_hot_groups_lose_nothing(spark):
+    rng = random.Random(42)
+    rows = []
+    phrase = prose(rng, 40)  # texts that share it fall into the same groups
+    for d in range(150):
+        w = prose(rng, 12 + d % 5).split()
+        if d % 3 == 2:
+            w = rows[d - 1][1].split()[40:]
+            for i in rng.sample(range(len(w)), 10):
+                w[i] = rng.choice(WORDS)
+        rows.append((d, phrase + " " + " ".join(w), "en", "a"))
+    toks = [r[1].split() for r in rows]
+    t = order_minhash.Tokens(pa.array([r[1] for r in rows]))
+    entries = [{*map(int, x)} for x in order_minhash.sketch(t.h, t.off, m=2)]
+    label, links = list(range(150)), [(a, b) for a, b in itertools.combinations(range(150), 2) if entries[a] & entries[b] and edit_distance(toks[a], toks[b]) <= int(0.2 * max(len(toks[a]), len(toks[b])) + 1e-9)]
+    for _ in range(150):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    assert max(sum(e in x for x in entries) for e in set().union(*entries)) > 64 and len(links) > 30
+    for paired in (4096, 7):
+        got = {tuple(r) for r in order_minhash.duplicates(documents(spark, rows), m=2, paired=paired).collect()}
+        assert got == {(d, k) for d, k in enumerate(label) if d != k}
+
+
+def test_bags_bound_the_distance():
+    rng = random.Random(43)
+    texts = []
+    for n in (3, 60, 127, 128, 129, 140, 250, 256, 260, 300, 1000, 1030, 1200):
+        w = [rng.randrange(n) for _ in range(n)]
+        texts += [w, [x if rng.random() > 0.1 else rng.randrange(n) for x in w] + [1] * (n // 20), w[n // 10 :]]
+    texts.sort(key=len)
+    tok = np.concatenate([np.array(x, np.uint64) * np.uint64(2654435761) % np.uint64(2**32) for x in texts])
+    bag = order_minhash.Bags(pa.array(order_minhash.bags(tok, np.r_[0, np.cumsum([len(x) for x in texts])]), pa.binary()), 0.8)
+    i, j = (np.array(x) for x in zip(*[(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(texts[i]) >= 0.8 * len(texts[j])]))
+    apart = bag.apart(i, j)
+    true = [order_minhash.banded_distance(texts[x], texts[y], 3000) for x, y in zip(i, j)]
+    assert (apart <= true).all() and (apart > 0.2 * np.array([len(texts[y]) for y in j])).sum() > 10
+
+
 def test_distances_of_a_batch():
     rng = random.Random(21)
     pairs = []
