@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, Tokens, cut, owned, per_token, slices, table, text_buffer
+from .common import BROADCAST_ROWS, SPACES, Tokens, cut, owned, per_token, slices, table, text_buffer
 from .markers import LEAST_MARK, finder, markers, marks
 
 GOOD, BAD, ABSTAIN = 2, 1, 0
@@ -107,7 +107,7 @@ def features(texts: pa.Array) -> dict[str, np.ndarray]:
 def measured(docs: DataFrame, labelled: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(doc_id, lang, words, mark, measures...) of every row."""
     names = ["words", *MEASURES]
-    sent = docs.sparkSession.sparkContext.broadcast(labelled)  # at most markers.CANDIDATES n-grams
+    sent = docs.sparkSession.sparkContext.broadcast(labelled)  # 16 bytes a marker
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, weights = sent.value
@@ -169,6 +169,9 @@ def toxic_rule(docs: DataFrame, labels: DataFrame | None) -> tuple[tuple[np.ndar
     if labels is None:
         return none
     told = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("told_id")).agg(F.max("toxic").cast("int").alias("tox"))
+    told = cut(told, "labelled")
+    if told.count() <= BROADCAST_ROWS:  # else the documents are shuffled to them
+        told = F.broadcast(told)
     ident = F.col("doc_id").cast("long")
     rows = cut(docs.select(ident.alias("told_doc"), F.coalesce("text", F.lit("")).alias("text")).join(told, F.col("told_doc") == F.col("told_id")).select("tox", "text", F.pmod(F.xxhash64("told_doc"), F.lit(HELD_OUT)).alias("part")), "told")
     found = markers(rows.where("part <> 0"))
