@@ -10,12 +10,15 @@ their names. What each operator adds to that is in its own module.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import common
-from tessera.llm.common import owned, scratch, settle, table, written
+from tessera.llm.common import col, cut, fresh, owned, scratch, settle, table, written
 from tessera.llm.decontaminate import decontaminated
 from tessera.llm.kneser_ney import keep_good
 from tessera.llm.mixing import mix
@@ -41,13 +44,31 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix in which each source has its own share at any place. A null source is one of its own; equal rows stand together."""
+    """All documents, in the order of the mix in which each source has its own share at any place; the shards keep it. A null source is one of its own; equal rows stand together."""
     return mix(docs)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with each row's number in their order, from 0 on; a column of that name is replaced. Docs that aren't a table of files are written first."""
+    spark = docs.sparkSession
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = cut(docs, "ordered")
+    sizes = docs.groupBy(F.col("_metadata.file_name").alias("file")).count().collect()  # a row a file
+    part = lambda file: int(m[1]) if (m := re.match(r"part-(\d+)", file)) else 0
+    sizes = sorted(sizes, key=lambda r: (part(r[0]), r[0]))
+    begin = spark.createDataFrame([(r[0], n - r[1]) for r, n in zip(sizes, accumulate(r[1] for r in sizes))], "file string, begin long")
+    others = [c for c in docs.columns if c.lower() != name.lower()]
+    file, row, first = fresh(docs, "row_file", "row_index", "row_begin")
+    rows = docs.select(*map(col, others), F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
+    rows = rows.join(F.broadcast(begin.toDF(file, first)), file)
+    return rows.select(*map(col, others), (col(first) + col(row)).alias(name))
+
+
+@owned
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the shard that each belongs to after resharding; a column of that name is replaced. A null source is a shard that is emptied."""
-    return resharded(docs)
+    """All documents, with the place of each in the mix and the shard that it belongs to after resharding, shard by shard in the order of the mix; columns of these names are replaced. A null source is a shard that is emptied."""
+    out = resharded(numbered(docs, "place"))
+    return out.repartitionByRange(col("shard"), col("place")).sortWithinPartitions(col("shard"), col("place"))
 
 
 STAGES: list[tuple[str, Stage]] = [("quality", quality), ("near_copies", near_copies), ("leaks", leaks), ("weights", weights), ("shards", shards)]

@@ -65,5 +65,23 @@ def test_pipeline(spark, tables):
     assert {r.doc_id for r in out.collect()} == seen["shards"] and out.where("shard is null").count() == 0
 
 
+def test_shards_keep_the_order_of_the_mix(spark, tables, tmp_path):
+    at = tables[0]
+    docs = spark.read.parquet(at + "/documents.parquet")
+    mixed = corpus_pipeline.weights(spark, docs, at)
+    want = [r.doc_id for r in mixed.collect()]
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    shard = {}
+    for before in (mixed, spark.read.parquet(str(tmp_path / "mixed"))):
+        out = corpus_pipeline.shards(spark, before, at).collect()
+        shard = shard or {r.doc_id: r.shard for r in out}
+        assert [r.doc_id for r in sorted(out, key=lambda r: r.place)] == want and sorted(r.place for r in out) == list(range(len(want)))
+        assert [(r.shard, r.place) for r in out] == sorted((r.shard, r.place) for r in out)
+        assert {r.doc_id: r.shard for r in out} == shard
+    # Without the mix another order would come out.
+    plain = corpus_pipeline.shards(spark, docs, at).collect()
+    assert [r.doc_id for r in sorted(plain, key=lambda r: r.place)] != want
+
+
 def test_pipeline_stands_odd_tables(spark, tiny):  # noqa: F811
     assert corpus_pipeline.run(spark, tiny).count() > 0
