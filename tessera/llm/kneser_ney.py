@@ -57,6 +57,7 @@ LOW, HIGH = 0.0005, 0.995
 SHRINK = 1000
 MIN_TRUSTED = 20
 MODEL_ROWS = 16_000_000
+HELD = 500_000  # n-grams of a language that a task counts before it hands them on
 POOLED = "*"
 VOCABULARY = 256
 MARK_SCALE = 10_000
@@ -86,9 +87,9 @@ def counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 k, c = np.unique(key[(langs == lang)[of]], return_counts=True)
                 parts = held.setdefault(lang, [])
                 parts.append((k, c.astype(np.int64)))
-                if len(parts) == 8:
+                if sum(len(x) for x, _ in parts[1:]) > max(200_000, len(parts[0][0])):
                     held[lang] = [merged(parts)]
-                    if len(held[lang][0][0]) > 2_000_000:
+                    if len(held[lang][0][0]) > HELD:
                         yield out(lang)
         for lang in list(held):
             yield out(lang)
@@ -173,7 +174,7 @@ def scored(docs: DataFrame, probs: DataFrame, backs: DataFrame, order: int = ORD
         ps, bs = (docs.sparkSession.sparkContext.broadcast(_arrays(x, v, order)) for x, v in ((probs, "logp"), (backs, "logb")))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for r in slices(batches, limit=1 << 20):
+            for r in slices(batches):
                 key, off = grams(r.column("text"), order)
                 models = np.array(r.column("model").to_pylist(), object)
                 of = np.repeat(np.arange(len(models)), np.diff(off))

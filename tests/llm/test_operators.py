@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm import arc_convert, chat_format, decontaminate, kneser_ney, line_dedup, markers, mixing, order_minhash, resharding, suffix_dedup, weak_rules
+from tessera.llm import arc_convert, chat_format, common, decontaminate, kneser_ney, line_dedup, markers, mixing, order_minhash, resharding, suffix_dedup, weak_rules
 
 WORDS = [a + b for a, b in itertools.product("ka to ri mu se lo ne pa vi do".split(), "lan ter mis gor pal ved sun".split())]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank int, slot string"
@@ -883,6 +883,18 @@ def test_odd_tables(spark, tiny, name):
     assert op(docs.limit(0)).count() == 0
 
 
+def test_python_gets_few_rows_at_a_time(spark):
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    got = [r.n for r in common.cut(spark.range(5000, numPartitions=1).mapInArrow(rows, "n long"), "few").collect()]
+    assert sum(got) == 5000 and max(got) <= 1000
+    texts = pa.RecordBatch.from_arrays([pa.array(["x" * 50_000] * 20 + ["y" * 900_000])], ["text"])
+    sizes = [sum(map(len, b.column("text").to_pylist())) for b in common.slices([texts])]
+    assert sum(sizes) == 1_900_000 and sizes[-1] == 900_000 and max(sizes[:-1]) <= 1 << 18
+
+
 def test_operators_leave_no_tables_behind(spark, tiny):
     from tessera.llm import common
 
