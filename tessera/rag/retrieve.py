@@ -18,6 +18,9 @@ Embedder = Callable[[list[str]], list[list[float]]]
 Model = Callable[[str], str]
 BATCH = 64
 BLOCK_BYTES = 256 << 20
+TASK_QUERIES = 8192
+WIDE = 2048  # vectors of the index in one product
+EXACT = 1 << 16  # pairs measured at once
 ANSWER = "struct<datatype_id:string,confidence:double,reason:string>"
 
 
@@ -52,19 +55,57 @@ def embedded(df: DataFrame, text: str, embedder: Embedder = hashing_embedder, di
     return df.mapInPandas(run, f"{fields}, embedding array<float>")
 
 
-def _block(rows: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array]:
-    """Ids, vectors, their squared lengths and flags of a block of the index."""
+def _block(rows: DataFrame) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """Ids, vectors and flags of a block of the index."""
     t = rows.toArrow().combine_chunks()
     vectors = t.column("b").combine_chunks()
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    v = flat.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
-    return t.column("item").combine_chunks(), v, (v * v).sum(1), t.column("keep").combine_chunks()
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
+    return t.column("item").combine_chunks(), flat.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0), np.float32), t.column("keep").combine_chunks()
+
+
+def _nearest(q: np.ndarray, items: pa.Array, v: np.ndarray, flags: pa.Array, n: int) -> pa.Table:
+    """(row, d, item, keep): the n nearest of a block to each row of q, measured in double; ties by item.
+
+    WIDE vectors at a time are multiplied in single precision. What may be among the nearest by that, with all that rounding can do, is measured again, so memory doesn't depend on the size of the block.
+    """
+    qq = (q * q).sum(1)
+    ones = np.ones(len(q))
+    large = qq[np.isfinite(qq)].max(initial=0)
+    best, limit = None, np.full(len(q), np.inf)  # the distance of the nth nearest so far
+    found: list[pa.Table] = []
+    for j in range(0, len(v), WIDE):
+        b = v[j : j + WIDE].astype(np.float64)
+        size = (b * b).sum(1)
+        top = size[np.isfinite(size)].max(initial=0)
+        kind = np.float32 if max(top, large) < 1e30 else np.float64
+        about = np.column_stack([-2 * q, ones]).astype(kind) @ np.column_stack([b, size]).astype(kind).T  # the distance without qq
+        slack = 4 * (q.shape[1] + 4) * np.finfo(kind).eps * (2 * top + qq) + 1e-35
+        most = limit - qq + slack
+        hit = np.flatnonzero(about <= most.astype(kind)[:, None])
+        if len(hit) > 2 * n * len(q):
+            m = min(n, len(b))
+            most = np.fmin(most, np.partition(about, m - 1, axis=1)[:, m - 1] + 2 * slack)
+            hit = np.flatnonzero(about <= most.astype(kind)[:, None])
+        for i in range(0, len(hit), EXACT):
+            row, col = np.divmod(hit[i : i + EXACT], len(b))
+            d = ((q[row] - b[col]) ** 2).sum(1)
+            near = d <= limit[row]
+            row, col, d = row[near], j + col[near], d[near]
+            take = pa.array(col)
+            found.append(pa.table({"row": row, "d": d, "item": items.take(take), "keep": flags.take(take)}))
+        if sum(map(len, found)) > n * len(q) or j + WIDE >= len(v) and found:
+            t = pa.concat_tables([*([] if best is None else [best]), *found]).sort_by([("row", "ascending"), ("d", "ascending"), ("item", "ascending")])
+            row = t.column("row").to_numpy()
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            limit[row[nth == n - 1]] = t.column("d").to_numpy()[nth == n - 1]
+            best, found = t.filter(pa.array(nth < n)).combine_chunks(), []
+    return best
 
 
 def nearest(queries: DataFrame, index: DataFrame, k: int, query_id: str = "query_id", item_id: str = "id", keep: Column | None = None, overfetch: int = 3, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, item_id, distance, rank): the k nearest by squared distance, ties by item_id. With keep (a condition on index columns) the overfetch * k nearest are found first and then filtered.
 
-    Exact. The index goes to the tasks in blocks of at most block_bytes, one after the other; each task multiplies its queries with a block and keeps the nearest of them, so nothing is shuffled while the index is one block, and k rows a query and block else. Null vectors are near nothing.
+    Exact, so the time grows with queries times index. The index goes to the tasks in blocks of at most block_bytes (in doubles; they are sent in single precision), a task holds one of them and some thousand queries and keeps the nearest: k rows a query and block are shuffled. Null vectors are near nothing.
     """
     right = index.where("embedding is not null").select(F.col(item_id).alias("item"), F.col("embedding").cast("array<float>").alias("b"), (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("keep"))
     size = right.agg(F.coalesce(F.sum(F.size("b") * 8 + 64), F.lit(0))).first()[0]
@@ -72,29 +113,20 @@ def nearest(queries: DataFrame, index: DataFrame, k: int, query_id: str = "query
     n = k if keep is None else k * overfetch
     left = queries.where("embedding is not null").select(F.col(query_id).alias("q"), F.col("embedding").cast("array<float>").alias("a"))
     q_kind, i_kind = left.schema["q"].dataType.simpleString(), right.schema["item"].dataType.simpleString()
+    # By their number, because a small file of vectors is much work.
+    left = left.repartition(max(index.sparkSession.sparkContext.defaultParallelism, left.count() // TASK_QUERIES + 1), "q")
     out = None
     for part in range(parts):
         rows = right if parts == 1 else right.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
         sent = index.sparkSession.sparkContext.broadcast(_block(rows))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items, v, size, flags = sent.value
-            if not len(items):
-                return
             for b in (x.slice(i, 512) for x in batches for i in range(0, x.num_rows, 512)):
+                items, v, flags = sent.value
                 q = b.column("a").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-                d = (q * q).sum(1)[:, None] + size - 2 * (q @ v.T)
-                m = min(n, len(items))
-                # Rounding in the product may swap near ties: all within a hair of the last are measured again.
-                last = np.partition(d, m - 1, axis=1)[:, m - 1]
-                row, col = np.nonzero(d <= (last + 1e-9 * (1 + np.abs(last)))[:, None])
-                exact = ((q[row] - v[col]) ** 2).sum(1)
-                take = pa.array(col)
-                t = pa.table({"row": pa.array(row), "d": pa.array(exact), "item": items.take(take), "keep": flags.take(take)}).sort_by([("row", "ascending"), ("d", "ascending"), ("item", "ascending")])
-                row = t.column("row").to_numpy()
-                near = np.arange(len(row)) - np.searchsorted(row, row) < m
-                t = t.filter(pa.array(near)).combine_chunks()
-                yield pa.RecordBatch.from_arrays([b.column("q").take(t.column("row").combine_chunks()), *(t.column(c).combine_chunks() for c in ("item", "d", "keep"))], ["q", "item", "d", "keep"])
+                t = _nearest(q, items, v, flags, n)
+                if t is not None and len(t):
+                    yield pa.RecordBatch.from_arrays([b.column("q").take(t.column("row").combine_chunks()), *(t.column(c).combine_chunks() for c in ("item", "d", "keep"))], ["q", "item", "d", "keep"])
 
         one = left.mapInArrow(run, f"q {q_kind}, item {i_kind}, d double, keep boolean")
         out = one if out is None else out.union(one)

@@ -4,8 +4,11 @@ import datetime
 import json
 import math
 import re
+import tracemalloc
 import zipfile
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -509,3 +512,37 @@ def test_patterns_of_samples(spark):
     got = {r.pattern: r.n for r in induced(df, "v").collect()}
     assert got == {r"^(?:AB|CD)\-[0-9]{1,3}$": 4, r"^[a-z]\.[a-z]$": 1}
     assert all(any(re.match(p, x) for p in got) for x in ("AB-1", "CD-333", "x.y"))
+
+
+def _brute(q, v, n):
+    d = ((q[:, None, :].astype(float) - v[None, :, :].astype(float)) ** 2).sum(2)
+    return {(i, int(j), r) for i, one in enumerate(d) for r, j in enumerate(np.lexsort((np.arange(len(v)), one))[:n], 1)}
+
+
+def _vectors(seed=5):
+    """Vectors far from zero, whose products cancel, some of them doubled and one very large."""
+    v = (np.random.default_rng(seed).normal(size=(5000, 8)) + 300).astype(np.float32)
+    v[1000:1200] = v[:200]
+    v[2000:2030] = v[7]
+    v[4999] = 1e18
+    return v
+
+
+def test_nearest_holds_a_tile_at_a_time():
+    v = np.random.default_rng(3).normal(size=(150_000, 4)).astype(np.float32)
+    q = v[:512].astype(np.float64)
+    tracemalloc.start()
+    t = retrieve._nearest(q, pa.array(range(len(v))), v, pa.array([True] * len(v)), 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6, most  # all distances of 512 queries would be 614 MB
+    rank = np.arange(len(t)) - np.searchsorted(t.column("row").to_numpy(), t.column("row").to_numpy()) + 1
+    assert {(r, i, k) for r, i, k in zip(t.column("row").to_pylist(), t.column("item").to_pylist(), rank) if r < 20} == _brute(q[:20], v, 5)
+
+
+def test_nearest_equals_brute_force(spark):
+    v = _vectors()
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<float>")
+    got = retrieve.nearest(df.where("id < 300 or id = 4999").withColumnRenamed("id", "query_id"), df, 5, block_bytes=200_000)
+    want = {(i if i < 300 else 4999, j, r) for i, j, r in _brute(v[[*range(300), 4999]], v, 5)}
+    assert {(r.query_id, r.id, r.rank) for r in got.collect()} == want
