@@ -546,3 +546,24 @@ def test_nearest_equals_brute_force(spark):
     got = retrieve.nearest(df.where("id < 300 or id = 4999").withColumnRenamed("id", "query_id"), df, 5, block_bytes=200_000)
     want = {(i if i < 300 else 4999, j, r) for i, j, r in _brute(v[[*range(300), 4999]], v, 5)}
     assert {(r.query_id, r.id, r.rank) for r in got.collect()} == want
+
+
+def test_nearest_with_a_condition_equals_brute_force(spark):
+    v = _vectors(6)[:1000]
+    df = spark.createDataFrame([(i, x.tolist(), i % 3 if i % 7 else None) for i, x in enumerate(v)], "id long, embedding array<float>, label int")
+    got = retrieve.nearest(df.where("id < 100").withColumnRenamed("id", "query_id"), df, 2, keep=F.col("label") < 1, block_bytes=50_000)
+    want = {}
+    for i, j, r in sorted(_brute(v[:100], v, 6), key=lambda x: x[2]):
+        if j % 7 and j % 3 == 0 and len(want.setdefault(i, [])) < 2:
+            want[i].append(j)
+    assert {(r.query_id, r.id, r.rank) for r in got.collect()} == {(i, j, k) for i, js in want.items() for k, j in enumerate(js, 1)}
+
+
+def test_nearest_holds_a_tile_of_equal_entries():
+    v = np.ones((60_000, 4), np.float32)
+    tracemalloc.start()
+    t = retrieve._nearest(np.ones((64, 4)), pa.array(range(len(v))[::-1]), v, pa.array([True, False] * 30_000), 15)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6, most
+    assert t.column("item").to_pylist() == [*range(15)] * 64 and t.column("keep").to_pylist() == ([False, True] * 8)[:15] * 64
