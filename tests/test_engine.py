@@ -13,10 +13,10 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera import cli
+from tessera import cli, queries
 from tessera.functions.checks import CHECKS, date_pattern
 from tessera.functions.pystr import float_str, python_str, string_kind
-from tessera.operators.flatten import extract, flatten, flatten_json, headers
+from tessera.operators.flatten import extract, first_values, flatten, flatten_json, headers
 from tessera.operators.profile import STATS, profile
 from tessera.plans import export, rules
 from tessera.plans.ppr import RuleError, compile_rule
@@ -567,3 +567,13 @@ def test_nearest_holds_a_tile_of_equal_entries():
     tracemalloc.stop()
     assert most < 100e6, most
     assert t.column("item").to_pylist() == [*range(15)] * 64 and t.column("keep").to_pylist() == ([False, True] * 8)[:15] * 64
+
+
+def test_first_values_of_a_flat_table_need_no_sort(spark):
+    df = spark.range(500).selectExpr("(id * 7) % 500 as k", "if(id % 3 = 0, null, id) as n", "cast(id as string) as t")
+    got = queries.first_cells(df, 20, ["k"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "TakeOrderedAndProject" in plan
+    assert {(r.pos.k, r.field, r.value) for r in got.collect()} == {(r.pos.k, r.field, r.value) for r in first_values(flatten(df, ["k"]), 20).collect()}
+    nested = spark.createDataFrame([(k, [] if k < 5 else [(k,)]) for k in range(9)], "k int, x array<struct<y:int>>")
+    assert {(r.field, r.value) for r in queries.first_cells(nested, 2, ["k"]).collect()} == {("k", "0"), ("k", "1"), ("x.y", "5"), ("x.y", "6")}
