@@ -577,3 +577,13 @@ def test_first_values_of_a_flat_table_need_no_sort(spark):
     assert {(r.pos.k, r.field, r.value) for r in got.collect()} == {(r.pos.k, r.field, r.value) for r in first_values(flatten(df, ["k"]), 20).collect()}
     nested = spark.createDataFrame([(k, [] if k < 5 else [(k,)]) for k in range(9)], "k int, x array<struct<y:int>>")
     assert {(r.field, r.value) for r in queries.first_cells(nested, 2, ["k"]).collect()} == {("k", "0"), ("k", "1"), ("x.y", "5"), ("x.y", "6")}
+
+
+def test_headers_of_a_table_cut_the_records_first(spark):
+    df = spark.range(3000).selectExpr("3000 - id as k", "id as n", "cast(id as string) as t")
+    got = queries.first_headers(df, 1000, ["k"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("TakeOrderedAndProject") == 1 and "Join" not in plan
+    assert sorted((r.ord, r.field) for r in got.collect()) == [(1, "k"), (2, "n"), (3, "t")]
+    nested = spark.createDataFrame([(k, {"late": k} if k == 1000 else {"soon": k}) for k in range(1001)], "k int, m map<string,int>")
+    assert {r.field for r in queries.first_headers(nested, 1000, ["k"]).collect()} == {"k", "m.soon"}
