@@ -587,3 +587,11 @@ def test_headers_of_a_table_cut_the_records_first(spark):
     assert sorted((r.ord, r.field) for r in got.collect()) == [(1, "k"), (2, "n"), (3, "t")]
     nested = spark.createDataFrame([(k, {"late": k} if k == 1000 else {"soon": k}) for k in range(1001)], "k int, m map<string,int>")
     assert {r.field for r in queries.first_headers(nested, 1000, ["k"]).collect()} == {"k", "m.soon"}
+
+
+def test_value_rules_hold_no_table_of_values(spark):
+    long = spark.range(300).selectExpr("'f' as field", "if(id % 3 = 0, null, md5(cast(id as string))) as value")
+    got = queries._confidences(long.union(long), [r for r in queries._RULES if r.id == "md5hash"])
+    keys = re.findall(r"HashAggregate\(keys=\[(.*?)\]", got._jdf.queryExecution().executedPlan().toString())
+    assert keys and not any("value" in k for k in keys)
+    assert [tuple(r) for r in got.collect()] == [("f", "md5hash", 100.0)]
